@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import decontamination, packing
 
 QUERIES = {
+    "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op10_harmonic_packing": packing.op10_harmonic_packing,
 }
 ORACLES: dict[str, str] = {}
