@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, media, packing, sharding
+from . import decontamination, media, packing, sharding, warc
 
 QUERIES = {
+    "op7_warc_records": warc.op7_warc_records,
     "op6_hypergeometric_sharding": sharding.op6_hypergeometric_sharding,
     "op4_audio_features": media.op4_audio_features,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
