@@ -120,6 +120,8 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _by_document(shard: Shard, block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
     """Hit documents of a shard with their runs of hit words and the items found in them."""
+    if not len(shard.doc):
+        return
     order = np.argsort(shard.doc, kind="stable")
     docs, at = np.unique(shard.doc[order], return_index=True)
     for doc, own in zip(docs.tolist(), np.split(order, at[1:]), strict=True):
