@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, media, packing, sharding, warc
+from . import decontamination, licenses, media, packing, sharding, warc
 
 QUERIES = {
+    "op1_license_scans": licenses.op1_license_scans,
     "op7_warc_records": warc.op7_warc_records,
     "op6_hypergeometric_sharding": sharding.op6_hypergeometric_sharding,
     "op4_audio_features": media.op4_audio_features,
