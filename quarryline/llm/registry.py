@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, media, packing, sharding, warc
+from . import decontamination, licenses, media, packing, quality, sharding, warc
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op1_license_scans": licenses.op1_license_scans,
     "op7_warc_records": warc.op7_warc_records,
     "op6_hypergeometric_sharding": sharding.op6_hypergeometric_sharding,
