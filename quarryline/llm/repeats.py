@@ -255,9 +255,10 @@ def _send_pieces(id_col: str, text_col: str, width: int, anchor_buckets: int, pi
     return run
 
 
-def _fields(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+def _fields(blob: bytes, count: int) -> tuple[list[np.ndarray], bytes]:
+    """Packed numbers, each after its length, and what follows them."""
     out, at = [], 0
-    while at + 4 <= len(blob) - 8 or (at + 4 <= len(blob) and at + 4 + int.from_bytes(blob[at : at + 4], "little") == len(blob)):
+    for _ in range(count):
         n = int.from_bytes(blob[at : at + 4], "little")
         out.append(unpack_numbers(blob[at + 4 : at + 4 + n]))
         at += 4 + n
@@ -269,7 +270,7 @@ def _sort_pieces(width: int):
         """Of one bucket: for each block one bit for each string of its pieces, in order."""
         texts, owners, anchors, sizes = [], [], [], []
         for payload, more in zip(rows.column("payload"), rows.column("more"), strict=True):
-            (length, owner, anchor), low = _fields(more.as_py())
+            (length, owner, anchor), low = _fields(more.as_py(), 3)
             data = np.frombuffer(_swell(payload.as_py()), np.uint8)
             texts.append(slices(data, np.cumsum(length) - length, np.cumsum(length)))
             owners.append(owner + int.from_bytes(low, "little"))
@@ -319,7 +320,7 @@ def _finish(text_col: str, width: int, emit: Emit):
         if not pending.num_rows:
             return _traffic(OUTCOME, 0, [])
         batch = _from_ipc(pending.column("payload")[0].as_py())
-        (start, count, place, in_bucket), _ = _fields(pending.column("more")[0].as_py())
+        (start, count, place, in_bucket), _ = _fields(pending.column("more")[0].as_py(), 4)
         start, late, place = np.cumsum(start), place % 2 == 1, place // 2
         data, at = _text(batch, text_col)
         # strings of each distinct piece, in the order of the answers
