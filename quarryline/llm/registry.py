@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, media, packing, quality, repeats, sharding, toxicity, warc
+from . import decontamination, licenses, media, packing, quality, repeats, sharding, simhash, toxicity, warc
 
 QUERIES = {
+    "op9_golay_simhash": simhash.op9_golay_simhash,
     "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
     "op8_toxicity_chain": toxicity.op8_toxicity_chain,
     "op2_quality_classifier": quality.op2_quality_classifier,
