@@ -177,3 +177,29 @@ def simhash_groups(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", te
 
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that name their group; of rows with the same id one.
+
+    Rows with a null id stay if nothing with an id is in their group.
+    """
+    known = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    grouped = known.join(classes(known, bits), "fp")
+    named = grouped.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(named.withColumnRenamed("doc_id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    nameless = docs.where(F.col(id_col).isNull())
+    if not known.where(F.col("doc_id").isNull()).limit(1).count():
+        return kept
+    # texts of rows without an id are fingerprinted again, as nothing else tells them apart
+    marked = nameless.mapInArrow(_with_fingerprint(text_col), docs.schema.add("__fp", "long"))
+    lonely = classes(known, bits).where(F.col("component_id").isNull()).select(F.col("fp").alias("__fp"))
+    return kept.unionByName(marked.join(lonely, "__fp", "left_semi").drop("__fp"))
+
+
+def _with_fingerprint(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, at in chunks(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprint_texts(data, at).view(np.int64))], [*batch.schema.names, "__fp"])
+
+    return run
