@@ -1 +1 @@
-
+"""Column functions and small numeric rules that operators share."""

@@ -7,6 +7,7 @@ folder that the driver and every executor share; only if the session has none
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of DataFrames that nothing refers to any more; it notices only when the JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes ``df`` to the shared folder and returns a DataFrame that reads it back."""
     spark = df.sparkSession

@@ -1 +1 @@
-
+"""Reserved: the library's operators are batch operators, none of them is a streaming one."""
