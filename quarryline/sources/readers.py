@@ -32,10 +32,11 @@ def parsing_issues(spark: SparkSession, path: str | list[str], separator: str =
 def read_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``src long, dst long``: two ids a line; empty lines and lines that begin with # are passed over."""
     line = F.col("value")
-    lines = read_lines(spark, path).where((line != "") & ~line.startswith("#"))
+    edge = (line != "") & ~line.startswith("#")
     ids = strict(F.slice(drop_trailing_empty(F.split(line, r"\s+")), 1, 2), "long", line)
     both = F.when(F.size(ids) == 2, ids).otherwise(F.raise_error(F.concat(F.lit("not an edge: '"), line, F.lit("'"))).cast("array<long>"))
-    return lines.select(both.alias("ids")).select(F.col("ids")[0].alias("src"), F.col("ids")[1].alias("dst"))
+    # the condition is told twice: filters may be evaluated in any order, and other lines must not raise
+    return read_lines(spark, path).where(edge).select(F.when(edge, both).alias("ids")).select(F.col("ids")[0].alias("src"), F.col("ids")[1].alias("dst"))
 
 
 def _adjacency(spark: SparkSession, path: str | list[str], kind: str, partitions: int | None) -> DataFrame:
