@@ -14,8 +14,8 @@ another mostly share theirs, so a text falls into pieces with one anchor each.
    one bit per string: whether a document with a smaller id has it.
 3. Blocks put the bits together and remove the covered bytes.
 
-Only anchors, shared pieces and bits travel, besides the blocks themselves,
-compressed; a block sends a piece once however many of its documents have it,
+Only anchors, shared pieces and bits travel: blocks lie in buckets of their
+number and are joined with what they are sent where they are.  A block sends a piece once however many of its documents have it,
 so a passage or document with very many copies adds at most one piece for
 each block to a bucket.  All tables between the steps lie in the shared folder.
 
@@ -40,12 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import materialize
+from ..storage import materialize, materialize_by, release
 from .common import byte_view, chunks, slices, spans_to_index, table
 from .suffixes import SuffixSorter
 
 WIDTH, SEED = 50, 16
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Bytes of texts that are cut into pieces at once.
+PIECES_AT_ONCE = 1 << 20
 #: Mean bytes of anchors, and of texts whose pieces meet, for each bucket.
 ANCHOR_BUCKET, PIECE_BUCKET = 4 << 20, 4 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -55,9 +57,8 @@ _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 BLOCKS = "block long, bytes long, payload binary"
 ANCHORS = "bucket int, block long, anchors binary"
-TRAFFIC = "kind int, block long, bucket int, payload binary, more binary"
-OUTCOME, PENDING, PIECES = 0, 1, 2
-BITS = "block long, bucket int, bits binary"
+TRAFFIC = "kind int, block long, bucket int, data binary, more binary"
+PIECES, PLACES, BITS = 0, 1, 2
 
 
 def _squeeze(x: bytes, level: int = 1) -> bytes:
@@ -107,7 +108,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def pieces(data: np.ndarray, at: np.ndarray, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts cut into pieces: anchors (48 bits), first strings, numbers of strings, and documents."""
+    """Texts cut into pieces: anchors (48 bits), first strings, numbers of strings, and documents. A few texts are looked at at once, as the arrays take many times their bytes."""
+    out, first = [], 0
+    while first < len(at) - 1:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + PIECES_AT_ONCE, "right")) - 1)
+        anchor, start, count, doc = _pieces(data[at[first] : at[last]], at[first : last + 1] - at[first], width, seed)
+        out.append((anchor, start + at[first], count, doc + first))
+        first = last
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+
+
+def _pieces(data: np.ndarray, at: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = (np.zeros(0, np.int64),) * 4
     if len(data) < width:
         return none
@@ -197,60 +208,51 @@ Emit = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.RecordB
 """(rows, bytes, offsets, removed) -> result rows; ``removed`` marks bytes."""
 
 
-def _traffic(kind: int, block: int, payloads: list[bytes], buckets: list[int | None] | None = None, more: list[bytes | None] | None = None) -> pa.Table:
-    n = len(payloads)
-    return pa.table([pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(buckets or [None] * n, pa.int32()), pa.array(payloads, pa.binary()), pa.array(more or [None] * n, pa.binary())], names=["kind", "block", "bucket", "payload", "more"])
+def _traffic(kind: int, block: int, data: list[bytes], buckets: list[int] | None = None, more: list[bytes] | None = None) -> pa.Table:
+    n = len(data)
+    return pa.table([pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(buckets or [None] * n, pa.int32()), pa.array(data, pa.binary()), pa.array(more or [None] * n, pa.binary())], names=["kind", "block", "bucket", "data", "more"])
+
 
+def _join_fields(parts: list[np.ndarray]) -> bytes:
+    return b"".join(len(p).to_bytes(4, "little") + p for p in map(pack_numbers, parts))
 
-def _send_pieces(id_col: str, text_col: str, width: int, anchor_buckets: int, piece_buckets: int, emit: Emit):
+
+def _send_pieces(id_col: str, text_col: str, width: int, anchor_buckets: int, piece_buckets: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        """The distinct pieces of a block with shared anchors, by bucket (PIECES), and where they stand in the block (PLACES)."""
+        if not blocks.num_rows or not answers.num_rows:
+            return _traffic(PIECES, 0, [])
         block = blocks.column("block")[0].as_py()
         batch = _from_ipc(blocks.column("payload")[0].as_py())
         data, at = _text(batch, text_col)
         ids = _ids(batch, id_col)
         anchor, start, count, doc = pieces(data, at, width)
-        shared = np.concatenate([np.zeros(0, np.int64), *(_unpack_sorted(x.as_py()) * anchor_buckets + b for b, x in zip(answers.column("bucket").to_pylist(), answers.column("anchors"), strict=True))])
+        shared = np.concatenate([_unpack_sorted(x.as_py()) * anchor_buckets + b for b, x in zip(answers.column("bucket").to_pylist(), answers.column("anchors"), strict=True)])
         hit = np.isin(anchor, shared)
         anchor, start, count, doc = anchor[hit], start[hit], count[hit], doc[hit]
-        busy = np.zeros(batch.num_rows, bool)
-        busy[doc] = True
-        out = []
-        if not busy.all():
-            rest = batch.filter(pa.array(~busy))
-            d, a = _text(rest, text_col)
-            out.append(_traffic(OUTCOME, block, [_to_ipc(emit(rest, d, a, np.zeros(len(d), bool)))]))
-        if busy.any():
-            coded = slices(data, start, start + count + width - 1).dictionary_encode()
-            code = coded.indices.to_numpy().astype(np.int64)
-            size = len(coded.dictionary)
-            owner = np.full(size, NO_ID)
-            np.minimum.at(owner, code, ids[doc])
-            code_anchor = np.zeros(size, np.int64)
-            code_anchor[code] = anchor
-            bucket = code_anchor % piece_buckets
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(piece_buckets + 1))
-            full = np.flatnonzero(edge[1:] > edge[:-1])
-            payloads, more = [], []
-            for b in full:
-                own = order[edge[b] : edge[b + 1]]
-                texts = coded.dictionary.take(pa.array(own))
-                d, a = byte_view(texts)
-                payloads.append(_squeeze(d.tobytes()))
-                low = int(owner[own].min())
-                more.append(b"".join(len(p).to_bytes(4, "little") + p for p in (pack_numbers(np.diff(a)), pack_numbers(owner[own] - low), pack_numbers(code_anchor[own]))) + low.to_bytes(8, "little"))
-            out.append(_traffic(PIECES, block, payloads, full.tolist(), more))
-            # what step 3 needs: the busy rows, and their pieces with the place of each in the answers
-            place = np.empty(size, np.int64)
-            place[order] = np.arange(size)
-            kept = batch.filter(pa.array(busy))
-            new_at = np.zeros(batch.num_rows + 1, np.int64)
-            new_at[1:] = np.cumsum(np.where(busy, np.diff(at), 0))
-            moved = start - at[doc] + new_at[doc]
-            late = (ids[doc] != owner[code]).astype(np.int64)
-            parts = [pack_numbers(x) for x in (np.diff(moved, prepend=0), count, place[code] * 2 + late, np.asarray(edge[1:] - edge[:-1])[full])]
-            out.append(_traffic(PENDING, block, [_to_ipc(kept)], None, [b"".join(len(p).to_bytes(4, "little") + p for p in parts)]))
-        return pa.concat_tables(out) if out else _traffic(PENDING, block, [])
+        coded = slices(data, start, start + count + width - 1).dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        size = len(coded.dictionary)
+        owner = np.full(size, NO_ID)
+        np.minimum.at(owner, code, ids[doc])
+        code_anchor = np.zeros(size, np.int64)
+        code_anchor[code] = anchor
+        bucket = code_anchor % piece_buckets
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(piece_buckets + 1))
+        full = np.flatnonzero(edge[1:] > edge[:-1])
+        payloads, more = [], []
+        for b in full:
+            own = order[edge[b] : edge[b + 1]]
+            d, a = byte_view(coded.dictionary.take(pa.array(own)))
+            low = int(owner[own].min())
+            payloads.append(_squeeze(d.tobytes(), 3))
+            more.append(_join_fields([np.diff(a), owner[own] - low, code_anchor[own]]) + low.to_bytes(8, "little"))
+        place = np.empty(size, np.int64)
+        place[order] = np.arange(size)
+        late = (ids[doc] != owner[code]).astype(np.int64)
+        places = _join_fields([np.diff(start, prepend=0), count, place[code] * 2 + late, (edge[1:] - edge[:-1])[full]])
+        return pa.concat_tables([_traffic(PIECES, block, payloads, full.tolist(), more), _traffic(PLACES, block, [places])])
 
     return run
 
@@ -269,7 +271,7 @@ def _sort_pieces(width: int):
     def run(rows: pa.Table) -> pa.Table:
         """Of one bucket: for each block one bit for each string of its pieces, in order."""
         texts, owners, anchors, sizes = [], [], [], []
-        for payload, more in zip(rows.column("payload"), rows.column("more"), strict=True):
+        for payload, more in zip(rows.column("data"), rows.column("more"), strict=True):
             (length, owner, anchor), low = _fields(more.as_py(), 3)
             data = np.frombuffer(_swell(payload.as_py()), np.uint8)
             texts.append(slices(data, np.cumsum(length) - length, np.cumsum(length)))
@@ -310,37 +312,42 @@ def _sort_pieces(width: int):
             strings = spans_to_index(begin[c], count[c])
             answer.append(np.packbits(smallest[strings] < np.repeat(owner[at_row : at_row + k], count[c])).tobytes())
             at_row += k
-        return pa.table([rows.column("block"), rows.column("bucket"), pa.array([_squeeze(x) for x in answer], pa.binary())], names=["block", "bucket", "bits"])
+        n = rows.num_rows
+        return pa.table([pa.array([BITS] * n, pa.int32()), rows.column("block"), rows.column("bucket"), pa.array([_squeeze(x) for x in answer], pa.binary()), pa.nulls(n, pa.binary())], names=["kind", "block", "bucket", "data", "more"])
 
     return run
 
 
-def _finish(text_col: str, width: int, emit: Emit):
-    def run(pending: pa.Table, answers: pa.Table) -> pa.Table:
-        if not pending.num_rows:
-            return _traffic(OUTCOME, 0, [])
-        batch = _from_ipc(pending.column("payload")[0].as_py())
-        (start, count, place, in_bucket), _ = _fields(pending.column("more")[0].as_py(), 4)
-        start, late, place = np.cumsum(start), place % 2 == 1, place // 2
+def _finish(text_col: str, width: int, emit: Emit, names: list[str]):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            raise RuntimeError("answers for a block that is not there")
+        batch = _from_ipc(blocks.column("payload")[0].as_py())
         data, at = _text(batch, text_col)
-        # strings of each distinct piece, in the order of the answers
-        n = int(in_bucket.sum())
-        strings = np.zeros(n, np.int64)
-        strings[place] = count
-        begin = np.cumsum(strings) - strings
-        bits = np.zeros(int(strings.sum()), bool)
-        order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
-        first_piece = np.cumsum(in_bucket) - in_bucket
-        for i, row in enumerate(order.tolist()):
-            a, b = first_piece[i], first_piece[i] + in_bucket[i]
-            k = int(strings[a:b].sum())
-            bits[begin[a] : begin[a] + k] = np.unpackbits(np.frombuffer(_swell(answers.column("bits")[row].as_py()), np.uint8), count=k).astype(bool)
-        removed = np.zeros(len(data) + 1, np.int64)
-        where = spans_to_index(start, count)
-        gone = bits[spans_to_index(begin[place], count)] | np.repeat(late, count)
-        np.add.at(removed, where[gone], 1)
-        np.add.at(removed, where[gone] + width, -1)
-        return _traffic(OUTCOME, pending.column("block")[0].as_py(), [_to_ipc(emit(batch, data, at, np.cumsum(removed[:-1]) > 0))])
+        removed = np.zeros(len(data), bool)
+        kind = answers.column("kind").to_numpy()
+        own = np.flatnonzero(kind == PLACES)
+        if len(own):
+            (start, count, place, in_bucket), _ = _fields(answers.column("data")[int(own[0])].as_py(), 4)
+            start, late, place = np.cumsum(start), place % 2 == 1, place // 2
+            # strings of each distinct piece, in the order of the answers
+            strings = np.zeros(int(in_bucket.sum()), np.int64)
+            strings[place] = count
+            begin = np.cumsum(strings) - strings
+            bits = np.zeros(int(strings.sum()), bool)
+            told = answers.filter(pa.array(kind == BITS)).sort_by("bucket")
+            first_piece = np.cumsum(in_bucket) - in_bucket
+            for i, blob in enumerate(told.column("data")):
+                a, b = first_piece[i], first_piece[i] + in_bucket[i]
+                k = int(strings[a:b].sum())
+                bits[begin[a] : begin[a] + k] = np.unpackbits(np.frombuffer(_swell(blob.as_py()), np.uint8), count=k).astype(bool)
+            where = spans_to_index(start, count)
+            where = where[bits[spans_to_index(begin[place], count)] | np.repeat(late, count)]
+            depth = np.zeros(len(data) + 1, np.int32)
+            depth[where] = 1  # every string stands in one piece
+            np.subtract.at(depth, where + width, 1)
+            removed = np.cumsum(depth[:-1], dtype=np.int32) > 0
+        return pa.Table.from_batches([emit(batch, data, at, removed)]).select(names)
 
     return run
 
@@ -353,24 +360,21 @@ def process(docs: DataFrame, emit: Emit, schema: T.StructType | str, width: int
         for i, (batch, data, _) in enumerate(chunks(batches, text_col, block_bytes)):
             yield pa.RecordBatch.from_arrays([pa.array([part + i], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([_to_ipc(batch)], pa.binary())], ["block", "bytes", "payload"])
 
-    blocks = materialize(docs.mapInArrow(pack, BLOCKS), "blocks")
+    blocks = materialize_by(docs.mapInArrow(pack, BLOCKS), "block", "blocks")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     anchor_buckets = max(16, -(-total * 45 // 100 // ANCHOR_BUCKET))
     piece_buckets = max(32, -(-total // PIECE_BUCKET))
-    sent = blocks.select("block", "payload").mapInArrow(_send_anchors(id_col, text_col, width, anchor_buckets), ANCHORS)
-    shared = sent.groupBy("bucket").applyInArrow(_meet_anchors, ANCHORS)
-    traffic = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(id_col, text_col, width, anchor_buckets, piece_buckets, emit), TRAFFIC)
-    traffic = materialize(traffic, "pieces")
-    bits = traffic.where(F.col("kind") == PIECES).select("block", "bucket", "payload", "more").groupBy("bucket").applyInArrow(_sort_pieces(width), BITS)
-    late = traffic.where(F.col("kind") == PENDING).groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_finish(text_col, width, emit), TRAFFIC)
-    done = traffic.where(F.col("kind") == OUTCOME).select("payload").union(late.select("payload"))
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for payload in rows.column("payload"):
-                yield _from_ipc(payload.as_py())
-
-    return done.mapInArrow(unpack, schema)
+    blocks = blocks.select("block", "payload")
+    sent = blocks.mapInArrow(_send_anchors(id_col, text_col, width, anchor_buckets), ANCHORS)
+    shared = materialize(sent.groupBy("bucket").applyInArrow(_meet_anchors, ANCHORS), "shared")
+    del sent
+    traffic = materialize(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(id_col, text_col, width, anchor_buckets, piece_buckets), TRAFFIC), "pieces")
+    del shared
+    release(docs.sparkSession)
+    bits = traffic.where(F.col("kind") == PIECES).groupBy("bucket").applyInArrow(_sort_pieces(width), TRAFFIC)
+    answers = traffic.where(F.col("kind") == PLACES).union(bits)
+    names = T._parse_datatype_string(schema).names if isinstance(schema, str) else schema.names
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(text_col, width, emit, names), schema)
 
 
 def runs(removed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
