@@ -99,7 +99,7 @@ class Shard:
         self.array = WordSuffixArray(self.tokens, window, len(block.vocabulary))
         if block.packed is None:
             both = [self.array.pack(block.tokens[b : b + n]) for b, n in zip(block.begin.tolist(), block.length.tolist(), strict=True)]
-            block.packed = (np.array([x for x, _ in both], np.int64).reshape(len(both), -1), np.array([x for _, x in both], np.int64).reshape(len(both), -1))
+            block.packed = tuple(np.array([x[i] for x in both], np.int64).reshape(len(both), len(self.array.keys)) for i in (0, 1))
         lo, hi = self.array.ranges(*block.packed) if len(block.begin) else (np.zeros(0, np.int64),) * 2
         hit = np.flatnonzero(hi > lo)
         n = hi[hit] - lo[hit]
