@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..storage import materialize
@@ -192,7 +193,7 @@ def keep_one(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col
     if not known.where(F.col("doc_id").isNull()).limit(1).count():
         return kept
     # texts of rows without an id are fingerprinted again, as nothing else tells them apart
-    marked = nameless.mapInArrow(_with_fingerprint(text_col), docs.schema.add("__fp", "long"))
+    marked = nameless.mapInArrow(_with_fingerprint(text_col), T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
     lonely = classes(known, bits).where(F.col("component_id").isNull()).select(F.col("fp").alias("__fp"))
     return kept.unionByName(marked.join(lonely, "__fp", "left_semi").drop("__fp"))
 
