@@ -98,6 +98,8 @@ def text_features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     newline = np.flatnonzero(data == 10)
     line_start = np.unique(np.concatenate([begins, newline[newline + 1 < size] + 1])).astype(np.int64)
     line_end = np.append(line_start[1:], size)
+    line_end = line_end[: len(line_start)]
+    line_end = line_end - (data[line_end - 1] == 10)  # without the line feed
     line_doc = doc[line_start] if size else np.zeros(0, np.int64)
     lines = np.bincount(line_doc, minlength=n)
     line_ids = slices(data, line_start, line_end).dictionary_encode().indices.to_numpy().astype(np.int64) if len(line_start) else np.zeros(0, np.int64)

@@ -90,12 +90,12 @@ def small(spark):
 def test_toxic_spans_and_filter(spark):
     docs, labels = small(spark)
     model = toxicity.fit(docs, labels.where("doc_id < 150"))
-    text = "The river. A viletongue was slow, green"
+    text = "The river. A vilething was slow, green"
     fresh = spark.createDataFrame([(1, text, 0), (2, "The river is slow", 0), (3, None, 0), (4, "", 0), (5, "...", 0), (5, "...", 0), (None, text * 200, 0)], "doc_id long, text string, score int")
     rows = {(r["doc_id"]): r for r in toxicity.score(fresh, model).collect()}
     assert toxicity.score(fresh, model).count() == 7
     a, b = rows[1]["starts"][0], rows[1]["ends"][0]
-    assert text.encode()[a:b] == b"viletongue" and rows[1]["score"] > 0.3 and rows[None]["score"] > 0.3
+    assert text.encode()[a:b] == b"vilething" and rows[1]["score"] > 0.3 and rows[None]["score"] > 0.3
     assert rows[2]["score"] < 0.3 and rows[3]["score"] == rows[4]["score"] == rows[5]["score"] < 0.3
     kept = toxicity.filter_toxic(fresh, model)
     assert kept.columns == fresh.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 5]
