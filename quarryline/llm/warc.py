@@ -163,7 +163,9 @@ def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
     found = materialize(candidates(spark, path, range_bytes), "candidates")
     hops = found.agg((F.max("range") + 1).alias("n")).first()["n"] or 1  # ranges of the longest file
     reached = found.where("off = 0").select("file", "off")
-    jump = found.where("exit < size").select("file", "off", F.col("exit").alias("to"))
+    # only candidates that another one jumps to (or a file's start) can be met on the way: about one for each range
+    met = found.select("file", F.col("exit").alias("off")).distinct().union(reached)
+    jump = materialize(found.where("exit < size").select("file", "off", F.col("exit").alias("to")).join(met, ["file", "off"], "left_semi"), "jump")
     steps = 1
     while steps < hops:
         reached = materialize(reached.union(reached.join(jump, ["file", "off"]).select("file", F.col("to").alias("off"))).distinct(), "reached")
