@@ -26,6 +26,8 @@ from ..storage import materialize
 SETS = "items array<int>, support long"
 #: Candidate sets of a level that are sent to every executor, at most.
 BROADCAST_SETS = 500_000
+#: Frequent items up to this number are looked up within the row; more are joined.
+IN_ROW_ITEMS = 2_000
 
 
 def baskets(pairs: DataFrame, tid: str = "tid", item: str = "item", distinct: bool = True) -> DataFrame:
@@ -77,8 +79,14 @@ def _numbered(transactions: DataFrame) -> DataFrame:
     return transactions.select(F.monotonically_increasing_id().alias("row"), "items")
 
 
-def _occurrences(transactions: DataFrame, frequent: DataFrame, multiset: bool) -> DataFrame:
+def _occurrences(transactions: DataFrame, frequent: DataFrame, n_frequent: int, multiset: bool) -> DataFrame:
     """Distinct transactions reduced to frequent items, (item, times) in ascending order, and how often each occurs."""
+    if n_frequent <= IN_ROW_ITEMS:
+        known = F.lit([r["item"] for r in frequent.select("item").collect()]) if n_frequent else F.array().cast("array<int>")
+        items = F.array_sort(F.array_intersect("items", known.cast("array<int>")))
+        times = lambda x: F.size(F.filter("items", lambda y: y == x)).cast("long") if multiset else F.lit(1).cast("long")
+        rows = transactions.select(F.transform(items, lambda x: F.struct(x.alias("item"), times(x).alias("times"))).alias("rest"))
+        return rows.where(F.size("rest") > 0).groupBy("rest").agg(F.count("*").alias("n"))
     rows = _numbered(transactions).select("row", F.explode("items").alias("item"))
     rows = rows.join(frequent.select("item"), "item", "left_semi").groupBy("row", "item").agg(F.count("*").alias("times"))
     times = F.col("times") if multiset else F.lit(1).cast("long")
@@ -106,8 +114,8 @@ def eclat(transactions: DataFrame, min_support: float, multiset: bool = False, m
     frequent = materialize(frequent_items(transactions, count, multiset), "items")
     found = [frequent.select(F.array("item").alias("items"), "support")]
     known = frequent.count()
-    rows = _extend(_occurrences(transactions, frequent, multiset), True).where(F.size("rest") > 0).persist(StorageLevel.MEMORY_AND_DISK)
-    level = 1
+    rows = _extend(_occurrences(transactions, frequent, known, multiset), True).where(F.size("rest") > 0)
+    level, held = 1, None
     while known > 1 and (max_level is None or level < max_level):
         wider = _extend(rows, False)
         if level > 1:
@@ -118,17 +126,16 @@ def eclat(transactions: DataFrame, min_support: float, multiset: bool = False, m
         known, level = sets.count(), level + 1
         if known:
             found.append(sets)
-        kept = _only(wider, sets, known).where(F.size("rest") > 0).persist(StorageLevel.MEMORY_AND_DISK)
-        if known > 1:
-            kept.count()
-        rows.unpersist()
-        wider.unpersist()
-        rows = kept
-    rows.unpersist()
+        rows = _only(wider, sets, known).where(F.size("rest") > 0)
+        if held is not None:
+            held.unpersist()
+        held = wider
+    if held is not None:
+        held.unpersist()
     out = found[0]
     for sets in found[1:]:
         out = out.unionByName(sets)
-    return out if known or level > 1 or found else spark.createDataFrame([], SETS)
+    return out
 
 
 def pfp(transactions: DataFrame, min_support: float, partitions: int | None = None, strict: bool = False) -> DataFrame:
