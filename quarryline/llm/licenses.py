@@ -18,6 +18,7 @@ resolved by the rules' order; further columns of the input are kept by
 
 from __future__ import annotations
 
+import json
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +49,9 @@ def word_text(text: Column) -> Column:
 
 def _candidates(norm: Column, rules: list[Rule]) -> Column:
     """The rules whose keyword occurs."""
-    told = F.array(*(F.struct(F.lit(r.number).alias("number"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )({r.pattern})(?= )").alias("pattern")) for r in rules))
+    told = [{"number": r.number, "priority": r.priority, "label": r.label, "keyword": r.keyword, "pattern": f"(?<= )({r.pattern})(?= )"} for r in rules]
+    # one literal, folded once by the optimizer
+    told = F.from_json(F.lit(json.dumps(told)), "array<struct<number: int, priority: int, label: string, keyword: string, pattern: string>>")
     return F.filter(told, lambda r: F.contains(norm, r["keyword"]))
 
 
