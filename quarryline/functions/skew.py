@@ -13,5 +13,6 @@ def skewness(c: Column) -> Column:
 
 def correlation(a: Column, b: Column) -> Column:
     """Aggregate: Pearson's coefficient, 0 if either side sums to 0 or does not vary."""
-    r = F.corr(a.cast("double"), b.cast("double"))
-    return F.when((F.sum(a) == 0) | (F.sum(b) == 0) | r.isNull() | F.isnan(r), F.lit(0.0)).otherwise(r)
+    a, b = a.cast("double"), b.cast("double")
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when((F.sum(a) == 0) | (F.sum(b) == 0), F.lit(0.0)).otherwise(F.coalesce(r, F.lit(0.0)))

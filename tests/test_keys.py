@@ -6,7 +6,7 @@ def test_bytes_per_key(spark, text, tmp_path):
     df = readers.read_key_bytes(spark, text("a b 10", "ab 5", "c 1"))
     stats = keystats.bytes_per_key(df)
     assert sorted(map(tuple, stats.collect())) == [("ab", 2, 15), ("c", 1, 1)]
-    assert sorted(r["key"] for r in readers.read_key_bytes(spark, text("a b 10"), " ").collect()) == ["a b"]
+    assert sorted(r["key"] for r in readers.read_key_bytes(spark, text("a b 10", name="other.txt"), " ").collect()) == ["a b"]
     writers.write_key_bytes(stats, str(tmp_path / "out*"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out.agg")).collect()) == ["ab\t2\t15", "c\t1\t1"]
 
