@@ -2,6 +2,7 @@ import pytest
 
 from quarryline.operators import pagerank
 from quarryline.operators.components import connected_components
+from quarryline.plans import catalog
 from quarryline.sources import readers
 
 ADJACENCY = ["1 2 3", "2 3", "3 1", "4 1 3", "5 9"]
@@ -58,6 +59,28 @@ def test_components_long_path_loops_and_nulls(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_whole_graph_queries(spark, tmp_path):
+    """Every lineitem row is an edge, whatever its line number and quantity; checked with a union-find."""
+    rows = [(o, o * 7 % 30 + j, j + 1, float(j * 9 + 1)) for o in range(1, 60) for j in range(o % 5)] + [(1000, 2000, 7, 1.0), (1000, 2001, 3, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for o, p, _, _ in rows:
+        a, b = find(2 * o), find(2 * p + 1)
+        parent[max(a, b)] = min(a, b)
+    expected = {x: find(x) for x in parent}
+    got = catalog.QUERIES["components_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == len(expected) and {r["id"]: r["component"] for r in got} == expected
+    sizes = {c: list(expected.values()).count(c) for c in expected.values()}
+    assert {r["component"]: r["n"] for r in catalog.QUERIES["component_sizes_whole"](spark, str(tmp_path)).collect()} == sizes and max(sizes.values()) > 20
+    assert tuple(catalog.QUERIES["graph_counts_whole"](spark, str(tmp_path)).first()) == (len(expected), len(sizes))
+
+
 @pytest.mark.parametrize("line", ["1 x", "1"])
 def test_bad_edge(spark, text, line):
     with pytest.raises(Exception, match="not a"):
