@@ -14,9 +14,10 @@ each file.  Only records on that chain remain.
 
 Defined results: null html is an empty payload; a null url is written as
 ``urn:unknown``; pages with a null id are responses; a repeated row is written
-again (of equal payloads, every row with the largest id is a response); in a
-damaged file the records before the damage remain; further columns of ``pages``
-are ignored; an empty table gives no rows.
+again (of equal payloads, every row with the largest id is a response); urls
+and headers may have any length; in a damaged file the records before the
+damage remain, or with ``strict`` an error is raised; further columns of
+``pages`` are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,8 +41,6 @@ DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 #: Bytes of a file that are one range of the scan.
 RANGE_BYTES = 4 << 20
-#: A header longer than this is none.
-HEADER_BYTES = 64 << 10
 #: Records of a file at most, so that files stay of moderate size.
 RECORDS_PER_FILE = 5_000
 #: Equal payloads are spread over so many keys in the join that marks revisits.
@@ -93,30 +92,41 @@ def _unpack(content: bytes) -> bytes:
     return b"".join(parts)
 
 
-_FIELD = re.compile(rb"^([A-Za-z0-9-]+):[ \t]*(.*?)[ \t]*$", re.MULTILINE)
+_FIELD = re.compile(rb"^([A-Za-z0-9-]+):(.*)$", re.MULTILINE)
+
+
+def _fields(block: bytes) -> dict[bytes, tuple[bytes, int]]:
+    """Of each field in lines its last value and where it stands."""
+    return {m[1].lower(): (m[2].strip(b" \t"), m.start()) for m in _FIELD.finditer(block)}
 
 
 def scan(data: bytes, range_bytes: int = RANGE_BYTES) -> dict[str, list]:
     """All candidates of a file: every place with the magic and a header that tells a length."""
     out: dict[str, list] = {k: [] for k in ("range", "off", "next", "exit", "record_type", "record_id", "refers_to", "payload_bytes", "payload_digest")}
     at = data.find(MAGIC)
+    first = stop = -1
+    told_fields: dict[bytes, tuple[bytes, int]] = {}
     while at >= 0:
-        stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-        if stop >= 0:
-            fields = {k.lower(): v for k, v in _FIELD.findall(data[at:stop].replace(b"\r\n", b"\n"))}
-            if (n := fields.get(b"content-length", b"")).isdigit() and len(n) < 16:
-                begin, end = stop + 4, stop + 4 + int(n)
-                if end <= len(data):
-                    head = data.find(b"\r\n\r\n", begin, end)
-                    kind = fields.get(b"warc-type", b"").decode("latin-1")
-                    told = fields.get(b"x-payload-length", b"")
-                    if kind == "revisit" and told.isdigit():
-                        size, digest = int(told), fields.get(b"warc-payload-digest", b"").partition(b":")[2].decode("latin-1")
-                    else:
-                        payload = memoryview(data)[head + 4 if head >= 0 else begin : end]
-                        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    for k, v in (("range", at // range_bytes), ("off", at), ("next", end + 4), ("record_type", kind), ("record_id", fields.get(b"warc-record-id", b"").decode("latin-1")), ("refers_to", fields[b"warc-refers-to"].decode("latin-1") if b"warc-refers-to" in fields else None), ("payload_bytes", size), ("payload_digest", digest)):
-                        out[k].append(v)
+        if at > stop:
+            # candidates before the same blank line share one look at its lines, so long headers cost no more than their bytes
+            first, stop = at, data.find(b"\r\n\r\n", at)
+            if stop < 0:
+                break
+            told_fields = _fields(data[at:stop].replace(b"\r\n", b" \n"))
+        fields = {k: v for k, (v, place) in told_fields.items() if first + place > at}
+        if (n := fields.get(b"content-length", b"")).isdigit() and len(n) < 16:
+            begin, end = stop + 4, stop + 4 + int(n)
+            if end <= len(data):
+                head = data.find(b"\r\n\r\n", begin, end)
+                kind = fields.get(b"warc-type", b"").decode("latin-1")
+                told = fields.get(b"x-payload-length", b"")
+                if kind == "revisit" and told.isdigit():
+                    size, digest = int(told), fields.get(b"warc-payload-digest", b"").partition(b":")[2].decode("latin-1")
+                else:
+                    payload = memoryview(data)[head + 4 if head >= 0 else begin : end]
+                    size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                for k, v in (("range", at // range_bytes), ("off", at), ("next", end + 4), ("record_type", kind), ("record_id", fields.get(b"warc-record-id", b"").decode("latin-1")), ("refers_to", fields[b"warc-refers-to"].decode("latin-1") if b"warc-refers-to" in fields else None), ("payload_bytes", size), ("payload_digest", digest)):
+                    out[k].append(v)
         at = data.find(MAGIC, at + 1)
     off, nxt = np.array(out["off"], np.int64), np.array(out["next"], np.int64)
     if len(off):
@@ -129,8 +139,8 @@ def scan(data: bytes, range_bytes: int = RANGE_BYTES) -> dict[str, list]:
     return out
 
 
-def candidates(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``CANDIDATES`` of all files below a path."""
+def candidates(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, strict: bool = False) -> DataFrame:
+    """``CANDIDATES`` of all files below a path; with ``strict`` a file that does not begin with one is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in CANDIDATES.split(", ")]
@@ -140,6 +150,8 @@ def candidates(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -
                 data = _unpack(batch.column("content")[i].as_py())
                 found = scan(data, range_bytes)
                 n = len(found["off"])
+                if strict and data and found["off"][:1] != [0]:
+                    raise ValueError(f"no record at the start of {batch.column('path')[i].as_py()}")
                 found |= {"file": [batch.column("path")[i].as_py()] * n, "size": [len(data)] * n}
                 yield pa.RecordBatch.from_arrays([pa.array(found[k], t) for k, t in zip(names, kinds, strict=True)], names)
 
@@ -158,9 +170,9 @@ def _walk(rows: pa.Table) -> pa.Table:
     return rows.filter(pa.array(kept)).drop_columns(["entry"])
 
 
-def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``CANDIDATES`` that are records: those that the chain from their file's start reaches."""
-    found = materialize(candidates(spark, path, range_bytes), "candidates")
+def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, strict: bool = False) -> DataFrame:
+    """``CANDIDATES`` that are records: those that the chain from their file's start reaches; with ``strict`` it must reach the file's end."""
+    found = materialize(candidates(spark, path, range_bytes, strict), "candidates")
     hops = found.agg((F.max("range") + 1).alias("n")).first()["n"] or 1  # ranges of the longest file
     reached = found.where("off = 0").select("file", "off")
     # only candidates that another one jumps to (or a file's start) can be met on the way: about one for each range
@@ -173,6 +185,10 @@ def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
         if steps < hops:
             far = jump.select("file", F.col("off").alias("to"), F.col("to").alias("far"))
             jump = materialize(jump.join(far, ["file", "to"]).select("file", "off", F.col("far").alias("to")), "jump")
+    if strict:
+        ends = found.select("file", "off", "exit", "size").join(reached, ["file", "off"]).groupBy("file").agg(F.max("exit").alias("end"), F.max("size").alias("size"))
+        if broken := ends.where("end < size").first():
+            raise ValueError(f"records end at byte {broken['end']} of {broken['size']} of {broken['file']}")
     marked = found.join(reached.withColumn("entry", F.lit(True)), ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     order = [x.split(" ")[0] for x in CANDIDATES.split(", ")]
     return marked.select(*order, "entry").groupBy("file", "range").applyInArrow(_walk, CANDIDATES)
@@ -182,4 +198,4 @@ def op7_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_pages(table(spark, sf_dir, "pages"), path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    return read_records(spark, path).select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
+    return read_records(spark, path, strict=True).select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))

@@ -121,6 +121,24 @@ def test_warc_candidates_and_damage():
     assert warc.scan(b"")["off"] == []
 
 
+@pytest.mark.parametrize("range_bytes", [30_000, warc.RANGE_BYTES])
+def test_warc_long_url(spark, tmp_path, range_bytes):
+    pages = [(i, "data:" + "WARC/1.1" * 12_500 if i in (0, 3) else f"u{i}", f"html {i}") for i in range(7)]
+    path = str(tmp_path / "out")
+    warc.write_pages(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    rows = warc.read_records(spark, path, range_bytes, strict=True).collect()
+    assert sorted((r["record_id"], r["payload_bytes"]) for r in rows) == [(f"<urn:page:{i}>", 6) for i in range(7)]
+
+
+def test_warc_strict(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    for name, data in (("middle", record * 2 + b"damage" + record), ("start", b"damage" + record)):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match="records end at byte" if name == "middle" else "no record at the start"):
+            warc.read_records(spark, str(tmp_path / name), strict=True).collect()
+    assert warc.read_records(spark, str(tmp_path / "middle")).count() == 2
+
+
 def test_warc_threshold_and_empty(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "long text"), (4, "u", "long text")], "page_id long, url string, html string")
     warc.write_pages(df, str(tmp_path / "a"), min_bytes=5)
