@@ -223,7 +223,8 @@ zlib|3|zlib license|(?:the )?zlib licensed?
 zlib|3|zlib libpng|zlib libpng license
 zlib|4|origin of this software must not be misrepresented|the origin of this software must not be misrepresented you must not claim that you wrote the original software
 zlib|4|altered source versions|altered source versions must be plainly marked as such and must not be misrepresented as being the original software
-libpng|3|libpng license|(?:png reference library|libpng) license(?: version 2)?
+libpng|3|libpng license|libpng license(?: version 2)?
+libpng|3|png reference library license|png reference library license(?: version 2)?
 bsl-1.0|5|spdx license identifier bsl 1 0|spdx license identifier bsl 1 0
 bsl-1.0|3|boost software license|boost software license(?: version 1(?: 0)?)?
 bsl-1.0|1|boost org license 1|(?:www )?boost org license 1 0 txt
@@ -245,7 +246,7 @@ ruby|3|ruby license|(?:the )?ruby license
 php-3.01|5|spdx license identifier php|spdx license identifier php 3 0(?:1)?
 php-3.01|3|php license|(?:the )?php license(?: version 3 0 ?1?)?
 postgresql|5|spdx license identifier postgresql|spdx license identifier postgresql
-postgresql|3|postgresql license|(?:the )?postgresql licen[cs]e
+postgresql|3|postgresql licen|(?:the )?postgresql licen[cs]e
 ofl-1.1|5|spdx license identifier ofl|spdx license identifier ofl 1 [01](?: rfn| no rfn)?
 ofl-1.1|3|sil open font license|sil open font license(?: version)?(?: 1 1)?
 ofl-1.1|2|open font license|open font license(?: version)?(?: 1 1)?
@@ -254,7 +255,7 @@ ncsa|3|ncsa open source license|(?:university of illinois )?ncsa open source lic
 ecl-2.0|3|educational community license|educational community license(?: version 2(?: 0)?)?
 afl-3.0|3|academic free license|academic free license(?: v(?:ersion)?)?(?: ?[123] [01])?
 osl-3.0|3|open software license|open software license(?: v(?:ersion)?)?(?: ?[123] [01])?
-odbl-1.0|3|open database license|open (?:data commons )?(?:open )?database license(?: v?1 0)?
+odbl-1.0|3|database license|open (?:data commons )?(?:open )?database license(?: v?1 0)?
 odc-by-1.0|3|open data commons attribution|open data commons attribution license(?: v?1 0)?
 pddl-1.0|3|public domain dedication and license|(?:open data commons )?public domain dedication and license
 ms-pl|3|microsoft public license|microsoft public license(?: ms pl)?
@@ -267,11 +268,13 @@ upl-1.0|3|universal permissive license|universal permissive license(?: v(?:ersio
 mulan-2.0|3|mulan psl|mulan psl v?2(?: 0)?
 qpl-1.0|3|q public license|q public license(?: version 1(?: 0)?)?
 lppl-1.3c|3|latex project public license|latex project public license(?: (?:version|v) ?1 3[abc]?)?
-w3c|3|w3c software notice|w3c software (?:notice and|and notice and document) license
-unicode|3|unicode license|unicode (?:inc )?license(?: agreement)?(?: v3)?
+w3c|3|w3c software|w3c software (?:notice and|and notice and document) license
+unicode|3|unicode license|unicode license(?: agreement)?(?: v3)?
+unicode|3|unicode inc license|unicode inc license(?: agreement)?(?: v3)?
 unicode|4|unicode data files|copy of the unicode data files and any associated documentation
 json|4|the software shall be used for good not evil|the software shall be used for good not evil
-beerware|3|beer ware license|(?:the )?beer ?ware license(?: revision 42)?
+beerware|3|beer ware license|(?:the )?beer ware license(?: revision 42)?
+beerware|3|beerware license|(?:the )?beerware license(?: revision 42)?
 jpeg|4|independent jpeg group|this software is based in part on the work of the independent jpeg group
 proprietary|2|all rights reserved|(?:copyright )?[^ ]* ?all rights reserved
 proprietary|3|confidential and proprietary|(?:this (?:file|software|document) is )?confidential and proprietary
@@ -280,12 +283,13 @@ proprietary|3|end user license agreement|end user license agreement(?: eula)?
 no-warranty|1|without warranty of any kind|(?:provided )?(?:as is )?without warranty of any kind(?: either)?(?: express(?:ed)? or implied)?
 no-warranty|1|merchantability or fitness|(?:implied )?warranty of merchantability or fitness for a particular purpose
 no-warranty|1|in no event shall|in no event shall the (?:authors?|copyright (?:holders?|owners?)|regents) (?:or contributors |or copyright holders )*be liable
-llama|3|llama 2 community license|llama [23](?: 1)? community license(?: agreement)?
-openrail|3|openrail|(?:creativeml |bigscience )?(?:open ?rail)(?: m)?(?: license)?
+llama|3|community license|llama [23](?: 1)? community license(?: agreement)?
+openrail|3|openrail|(?:creativeml |bigscience )?openrail(?: m)?(?: license)?
+openrail|3|open rail|(?:creativeml |bigscience )?open rail(?: m)?(?: license)?
 """
 
 RULES = [Rule(i, *(f(x) for f, x in zip((str, int, str, str), line.split("|", 3), strict=True))) for i, line in enumerate(_TEXT.strip().splitlines())]
 """All rules; their order breaks ties of priority."""
 
 #: Every keyword contains one of these, so a text without any of them needs no further look.
-GATES = ["licen", "gpl", "gnu", "bsd", "apache", "public domain", "publicdomain", "permission", "permitted", "redistribution", "creative commons", "cc by", "cc0", "attribution", "rights reserved", "warrant", "merchantability", "in no event", "do what the", "wtfpl", "without fee", "without restriction", "x consortium", "you may not use", "or later", "exception", "mozilla", "cecill", "zlib", "altered source", "misrepresented", "openssl", "unicode", "independent jpeg", "invariant sections", "good not evil", "confidential", "prohibited", "openrail", "mulan psl", "conditions for use", "advertising materials", "endorse", "w3c software", "encumbered", "same terms as", "eclipse org"]
+GATES = ["licen", "gpl", "gnu", "bsd", "apache", "public domain", "publicdomain", "permission", "permitted", "redistribution", "creative commons", "cc by", "cc0", "attribution", "rights reserved", "warrant", "merchantability", "in no event", "do what the", "wtfpl", "without fee", "without restriction", "x consortium", "you may not use", "or later", "exception", "mozilla", "cecill", "zlib", "altered source", "misrepresented", "openssl", "unicode", "independent jpeg", "invariant sections", "good not evil", "confidential", "prohibited", "openrail", "open rail", "mulan psl", "conditions for use", "advertising materials", "endorse", "w3c software", "encumbered", "same terms as", "eclipse org"]

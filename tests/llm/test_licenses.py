@@ -1,6 +1,9 @@
+import itertools
 import random
 import re
 
+import pytest
+
 from quarryline.llm import licenses
 from quarryline.llm.license_rules import GATES, RULES
 
@@ -45,6 +48,43 @@ def test_rules():
         assert re.compile(r.pattern) and r.keyword.strip() == r.keyword, plain
 
 
+def forms(tree):
+    """All texts of a parsed pattern; what may repeat stands as often as it must, and once more."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            own = [chr(arg)]
+        elif name == "IN":
+            own = [chr(v) for _, v in arg]
+        elif name in ("ANY", "NOT_LITERAL"):
+            own = ["x"]
+        elif name == "SUBPATTERN":
+            own = forms(arg[3])
+        elif name == "BRANCH":
+            own = [f for branch in arg[1] for f in forms(branch)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, what = arg
+            own = ["".join(x) for n in range(least, min(most, least + 1) + 1) for x in itertools.product(forms(what), repeat=n)]
+        else:
+            raise AssertionError(name)
+        out = [a + b for a in out for b in own]
+    return out
+
+
+@pytest.mark.parametrize("rule", RULES, ids=lambda r: f"{r.number}-{r.label}")
+def test_every_form_has_keyword_and_gate(rule):
+    every = forms(re._parser.parse(rule.pattern))
+    assert all(re.fullmatch(rule.pattern, f) for f in every)
+    assert [f for f in every if rule.keyword not in f or not any(g in f for g in GATES)] == []
+
+
+def test_forms_without_the_first_keyword(spark):
+    texts = {"llama 3 community license": "llama", "llama 3 1 community license": "llama", "png reference library license": "libpng", "postgresql licence": "postgresql", "open data commons database license": "odbl-1.0", "w3c software and notice and document license": "w3c", "unicode inc license": "unicode", "beerware license": "beerware", "open rail": "openrail"}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["text"]: r["labels"] for r in licenses.scan_licenses(df).collect()} == texts
+
+
 def test_against_brute_force(spark):
     r = random.Random(0)
     seeds = ["MIT License", "mit license", "Apache License, Version 2.0", "GNU General Public License v3", "general public license", "SPDX-License-Identifier: MIT", "SPDX-License-Identifier: GPL-2.0-or-later", "All rights reserved.", "Creative Commons Attribution 4.0 International License", "BSD 3-Clause License", "word", "Straße", "mit", "license", "cc by nc 4 0", "you may not use this file except in compliance with the License"]
