@@ -151,6 +151,8 @@ def _links(bits: int):
 
 def classes(known: DataFrame, bits: int = BITS) -> DataFrame:
     """fp, component_id: for each fingerprint the smallest id reachable by links of at most ``bits`` bits. ``known``: doc_id and fp."""
+    if bits > BITS:
+        raise ValueError(f"keys find links of at most {BITS} bits, not {bits}")
     spark = known.sparkSession
     nodes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
 

@@ -103,5 +103,11 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(alone).collect()) == sorted([(0, "nothing like it at all"), (10, texts[0])])
 
 
+@pytest.mark.parametrize("operator", [simhash.simhash_groups, simhash.keep_one])
+def test_no_links_beyond_the_keys(spark, operator):
+    with pytest.raises(ValueError, match="at most 4 bits"):
+        operator(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), bits=5)
+
+
 def test_empty(spark):
     assert simhash.simhash_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
