@@ -150,7 +150,7 @@ def _links(bits: int):
 
 
 def classes(known: DataFrame, bits: int = BITS) -> DataFrame:
-    """fp, component_id: for each fingerprint the smallest id reachable by links of at most ``bits`` bits. ``known``: doc_id and fp."""
+    """fp, link, component_id: for each fingerprint its group's smallest linked fingerprint, and the smallest id reachable by links of at most ``bits`` bits. ``known``: doc_id and fp."""
     if bits > BITS:
         raise ValueError(f"keys find links of at most {BITS} bits, not {bits}")
     spark = known.sparkSession
@@ -167,8 +167,8 @@ def classes(known: DataFrame, bits: int = BITS) -> DataFrame:
     links = materialize(sent.mapInArrow(_links(bits), "src long, dst long"), "links")
     found = materialize(connected_components(links).withColumnRenamed("id", "fp").join(nodes, "fp"), "linked")
     least = found.groupBy("component").agg(F.min("node").alias("least"))
-    group = found.join(least, "component").select("fp", "least")
-    return nodes.join(group, "fp", "left").select("fp", F.coalesce("least", "node").alias("component_id"))
+    group = found.join(least, "component").select("fp", "component", "least")
+    return nodes.join(group, "fp", "left").select("fp", F.coalesce("component", "fp").alias("link"), F.coalesce("least", "node").alias("component_id"))
 
 
 def simhash_groups(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,21 +183,26 @@ def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that name their group; of rows with the same id one.
+    """One document of each group, with all its columns: one with the id that names the group.
 
-    Rows with a null id stay if nothing with an id is in their group.
+    Groups in which no row has an id keep one row. An id on different texts is
+    told apart by the texts' fingerprints, so each of their groups keeps one row.
     """
     known = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    grouped = known.join(classes(known, bits), "fp")
-    named = grouped.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(named.withColumnRenamed("doc_id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull())
-    if not known.where(F.col("doc_id").isNull()).limit(1).count():
+    grouped = known.join(classes(known, bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    several = known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("doc_id", F.lit(True).alias("several"))
+    named = grouped.groupBy("link").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"))
+    chosen = materialize(named.join(several, "doc_id", "left").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), (F.col("doc_id").isNull() | F.col("several").isNotNull()).alias("unsure")), "chosen")
+    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
+    kept = rows.join(chosen.where("NOT unsure"), "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    unsure = chosen.where("unsure").select("__id", "__fp")
+    if not unsure.limit(1).count():
         return kept
-    # texts of rows without an id are fingerprinted again, as nothing else tells them apart
-    marked = nameless.mapInArrow(_with_fingerprint(text_col), T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    lonely = classes(known, bits).where(F.col("component_id").isNull()).select(F.col("fp").alias("__fp"))
-    return kept.unionByName(marked.join(lonely, "__fp", "left_semi").drop("__fp"))
+    # an id alone does not tell these rows apart: their texts are fingerprinted again
+    doubtful = rows.where("__id IS NULL").unionByName(rows.join(unsure, "__id", "left_semi"))
+    marked = doubtful.mapInArrow(_with_fingerprint(text_col), T.StructType([*rows.schema.fields, T.StructField("__fp", T.LongType())]))
+    same = marked["__fp"].eqNullSafe(unsure["__fp"]) & marked["__id"].eqNullSafe(unsure["__id"])
+    return kept.unionByName(marked.join(unsure, same, "left_semi").dropDuplicates(["__id", "__fp"]).drop("__id", "__fp"))
 
 
 def _with_fingerprint(text_col: str):

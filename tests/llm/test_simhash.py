@@ -103,6 +103,14 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(alone).collect()) == sorted([(0, "nothing like it at all"), (10, texts[0])])
 
 
+def test_keep_one_of_each_group(spark):
+    """An id on texts of two groups, an id whose text belongs to a group of another name, and copies without an id."""
+    a, b, c = "one two three four five six", "nothing like it at all here", "a third text of other words"
+    rows = [(1, a), (1, b), (2, b), (2, b), (None, c), (None, c), (None, a)]
+    out = simhash.keep_one(spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_chars long"))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, a, 7), (1, b, 7), (None, c, 7)], key=repr)
+
+
 @pytest.mark.parametrize("operator", [simhash.simhash_groups, simhash.keep_one])
 def test_no_links_beyond_the_keys(spark, operator):
     with pytest.raises(ValueError, match="at most 4 bits"):
