@@ -10,7 +10,7 @@ class) is cut once more to fill whole sequences and, for the last few tokens,
 sequences whose length is a power of two.
 
 Defined results: a null or empty text is one document of the separator id
-alone; repeated rows are packed as often as they occur; further columns are
+alone; documents with a null id are packed and their pieces have a null id; repeated rows are packed as often as they occur; further columns are
 ignored; an empty table gives no rows.  Sequence ids are unique in one run and
 depend on how the input is partitioned.
 """
@@ -67,7 +67,7 @@ class Packer:
             yield who, start, length
             start, rest = start + length, rest - length
 
-    def add(self, doc_ids: np.ndarray, ids: np.ndarray, at: np.ndarray) -> list[tuple]:
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, at: np.ndarray) -> list[tuple]:
         """Takes documents' ids, one after another; (doc_id, start, ids, doc_tokens, sequence_id, offset) of full sequences."""
         tokens, out = np.diff(at), []
         rounds = list(self._cut(tokens))
@@ -77,7 +77,7 @@ class Packer:
         for size in np.unique(length):
             mine = np.flatnonzero(length == size)
             k, size = self.capacity // int(size), int(size)
-            new = [(int(doc_ids[w]), int(s), ids[at[w] + s : at[w] + s + size], int(tokens[w])) for w, s in zip(who[mine].tolist(), start[mine].tolist(), strict=True)]
+            new = [(doc_ids[w], int(s), ids[at[w] + s : at[w] + s + size], int(tokens[w])) for w, s in zip(who[mine].tolist(), start[mine].tolist(), strict=True)]
             pieces = self.open.pop(size, []) + new
             whole = len(pieces) // k * k
             for i, piece in enumerate(pieces[:whole]):
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, vocabulary: bytes, capacity: int = CAPACITY, separator
         for batch, data, at in chunks(batches, "text"):
             ids, first = bpe.encode(data, at)
             ids = np.insert(ids, first[1:], separator)
-            yield rows(packer.add(batch.column("doc_id").to_numpy(zero_copy_only=False), ids, first + np.arange(len(first))))
+            yield rows(packer.add(batch.column("doc_id").to_pylist(), ids, first + np.arange(len(first))))
         yield rows(packer.finish())
 
     from pyspark.sql import functions as F

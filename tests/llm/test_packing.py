@@ -45,5 +45,15 @@ def test_pieces(spark, library, capacity):
     assert padding < 0.07 * used["sum"].sum()
 
 
+def test_null_and_large_ids(spark):
+    docs = spark.createDataFrame([(None, "no id"), (2**53 + 1, "large id"), (None, "x" * 5000)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(docs, packing.read_vocabulary(), 16).collect()
+    assert {r["doc_id"] for r in rows} == {None, 2**53 + 1}
+    per_document = {(r["doc_id"], r["doc_tokens"]): 0 for r in rows}
+    for r in rows:
+        per_document[r["doc_id"], r["doc_tokens"]] += r["length"]
+    assert len(per_document) == 3 and all(n == tokens for (_, tokens), n in per_document.items())
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), packing.read_vocabulary()).count() == 0
