@@ -12,12 +12,16 @@ its halves with a generator seeded by the node, so a task draws its own row by
 walking from the root (cells x log2(partitions) draws), and all tasks agree.
 A large shard consists of several cells, so no task receives a whole shard.
 
-Permutations are orders by seeded hashes of the row key, not by arrival, so a
-task that runs again after an executor was lost deals its rows as before.
-
-Defined results: rows without a key, and repeated rows, are dealt like any
-other; an empty table gives no rows; further columns are kept by
-``assign_shards``.
+Rows are written once with their numbers; permutations are orders by seeded
+hashes of key and number, not by arrival, so a task that runs again after an
+executor was lost deals its rows as before, and rows that are alike are
+shuffled like any other.  A task that deals a partition meets its rows sorted
+and needs only its own row of the matrix.
+
+Defined results: rows without a key (null ids), null, empty and very long
+texts are dealt like any other; of repeated rows each is dealt on its own; an
+empty table gives no rows; ``assign_shards`` keeps further columns of any name
+and replaces columns named ``shard`` and ``slot``.
 """
 
 from __future__ import annotations
@@ -28,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import materialize
-from .common import table
+from .common import fresh, table
 
 N_SHARDS = 16
 SEED = 20_240_607
@@ -102,44 +107,44 @@ def cell_sizes(n_rows: int, n_shards: int, rows_per_cell: int) -> tuple[np.ndarr
 def assign_shards(df: DataFrame, key: list[Column], n_shards: int = N_SHARDS, seed: int = SEED, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """``df`` with ``shard int`` and ``slot long``: the row's place in its shard, from 0 without gaps.
 
-    ``key`` tells rows apart; rows that agree in it are interchangeable.  The
-    table is written once with its partition numbers, since a plan that runs
-    again may deal rows to other partitions.
+    ``key`` is mixed into the permutations.  The table is written once with a
+    number for each row, since a plan that runs again may deal rows to other
+    partitions; the number also tells rows apart that agree in the key.
     """
     spark = df.sparkSession
-    held = materialize(df.withColumn("__part", F.spark_partition_id()).withColumn("__first", F.xxhash64(F.lit(seed), *key)), "sharding")
-    told = held.groupBy("__part").count().orderBy("__part").toArrow()  # two numbers for each partition
-    parts, counts = told.column("__part").to_numpy(), told.column("count").to_numpy().astype(np.int64)
+    row, part, first, again, cell, base = fresh([*df.columns, "shard", "slot"], "row", "part", "first", "again", "cell", "base")
+    hashed = df.withColumn(row, F.monotonically_increasing_id()).withColumn(first, F.xxhash64(F.lit(seed), *key, F.col(row))).withColumn(again, F.xxhash64(F.lit(seed + 1), *key, F.col(row)))
+    held = materialize(hashed.withColumn(part, F.shiftright(row, 33).cast("int")).drop("shard", "slot"), "sharding")
+    told = held.groupBy(part).count().orderBy(part).toArrow()  # two numbers for each partition
+    parts, counts = told.column(part).to_numpy(), told.column("count").to_numpy().astype(np.int64)
     sizes, shards = cell_sizes(int(counts.sum()), n_shards, rows_per_cell)
-    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    offset = base - base[np.searchsorted(shards, shards)]  # of a cell in its shard
-    shared = spark.sparkContext.broadcast((parts, counts, sizes))  # numbers of partitions and cells, not rows
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, counts, sizes = shared.value
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    offset = starts - starts[np.searchsorted(shards, shards)]  # of a cell in its shard
+    shared = spark.sparkContext.broadcast((parts, counts, sizes, shards, offset))  # numbers of partitions and cells, not rows
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by partition and hash get the cell whose share of the partition their rank lies in."""
+        parts, counts, sizes, shards, offset = shared.value
+        now, rank, upto = None, 0, None
         for batch in batches:
-            cells, begins, ends = [], [], []
-            for p in batch.column("__part").to_pylist():
-                row = matrix_row(counts, sizes, int(np.searchsorted(parts, p)), seed)
-                own = np.flatnonzero(row)
-                upto = np.cumsum(row[own])
-                cells.append(own.tolist())
-                ends.append(upto.tolist())
-                begins.append((upto - row[own]).tolist())
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("__part"), pa.array(cells, longs), pa.array(begins, longs), pa.array(ends, longs)], ["__part", "__cells", "__begins", "__ends"])
-
-    listed = spark.createDataFrame([(int(p),) for p in parts], "__part int")
-    matrix = listed.repartition("__part").mapInArrow(rows, "__part int, __cells array<long>, __begins array<long>, __ends array<long>")
-    local = Window.partitionBy("__part").orderBy("__first", *key)
-    ranked = held.withColumn("__rank", F.row_number().over(local).cast("long") - 1)
-    # the cell of a row: the first whose end lies beyond the row's rank in its partition
-    cell = F.element_at("__cells", (F.size(F.filter("__ends", lambda e: e <= F.col("__rank"))) + 1).cast("int"))
-    dealt = ranked.join(matrix, "__part").withColumn("__cell", cell).drop("__cells", "__begins", "__ends")
-    again = Window.partitionBy("__cell").orderBy(F.xxhash64(F.lit(seed + 1), *key), *key)
-    pick = lambda values: F.element_at(F.lit(values.tolist()), (F.col("__cell") + 1).cast("int"))
-    placed = dealt.withColumn("slot", F.row_number().over(again).cast("long") - 1 + pick(offset).cast("long")).withColumn("shard", pick(shards).cast("int"))
-    return placed.drop("__part", "__first", "__rank", "__cell")
+            if not batch.num_rows:
+                continue
+            p = batch.column(part).to_numpy()
+            cut = np.append(np.flatnonzero(np.append(True, p[1:] != p[:-1])), len(p))
+            cells = np.empty(len(p), np.int64)
+            for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+                if p[a] != now:
+                    now, rank = p[a], 0
+                    upto = np.cumsum(matrix_row(counts, sizes, int(np.searchsorted(parts, now)), seed))
+                cells[a:b] = np.searchsorted(upto, np.arange(rank, rank + b - a), "right")
+                rank += b - a
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(offset[cells], pa.int64()), pa.array(shards[cells], pa.int32())], [*batch.schema.names, cell, base, "shard"])
+
+    schema = T.StructType([*held.schema.fields, T.StructField(cell, T.LongType()), T.StructField(base, T.LongType()), T.StructField("shard", T.IntegerType())])
+    dealt = held.repartition(max(1, len(parts)), part).sortWithinPartitions(part, first, row).mapInArrow(deal, schema)
+    place = Window.partitionBy(cell).orderBy(again, row)
+    placed = dealt.repartition(2 * len(sizes), cell).withColumn("slot", F.row_number().over(place).cast("long") - 1 + F.col(base))
+    return placed.drop(row, part, first, again, cell, base)
 
 
 def op6_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

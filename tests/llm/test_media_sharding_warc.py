@@ -91,6 +91,46 @@ def test_shuffle_is_uniform(spark):
     assert all(25 < n < 75 for n in share.values())
 
 
+def test_repeated_rows_are_shuffled_too(spark):
+    """40 equal rows among 400: the counts by shard pass a chi-square test (15 degrees of freedom: 37.7 is the 0.1 % point), and differ by seed."""
+    df = spark.createDataFrame([(7 if i % 10 == 0 else 1000 + i, None) for i in range(400)], "doc_id long, text string").repartition(5)
+    every = Counter()
+    for seed in range(6):
+        shares = Counter(r["shard"] for r in sharding.assign_shards(df, [F.col("doc_id")], 16, seed=seed).collect() if r["doc_id"] == 7)
+        assert sum((shares[s] - 2.5) ** 2 / 2.5 for s in range(16)) < 37.7
+        every += shares
+    assert sum((every[s] - 15) ** 2 / 15 for s in range(16)) < 37.7
+
+
+def test_counts_are_the_matrix_and_names_may_clash(spark):
+    """From each partition exactly the matrix's numbers of rows go to each cell; working columns do not disturb those of the input."""
+    names = ["row", "part", "first", "again", "cell", "base", "__part", "__first", "__rank", "__cell", "slot", "shard"]
+    df = spark.range(0, 3000, 1, 4).selectExpr("id AS doc_id", *(f"'{n}' AS {n}" for n in names))
+    source = {r["doc_id"]: r["p"] for r in df.select("doc_id", F.spark_partition_id().alias("p")).collect()}
+    out = sharding.assign_shards(df, [F.col("doc_id")], 3, rows_per_cell=300)
+    rows = out.collect()
+    assert all(r[n] == n for r in rows[:50] for n in names[:-2]) and set(out.columns) == {"doc_id", *names}
+    counts = np.array([n for _, n in sorted(Counter(source.values()).items())])
+    sizes, shards = sharding.cell_sizes(3000, 3, 300)
+    begin = {s: np.cumsum([0, *sizes[shards == s]]) for s in range(3)}
+    first = {s: int(np.flatnonzero(shards == s)[0]) for s in range(3)}
+    seen = Counter((source[r["doc_id"]], first[r["shard"]] + int(np.searchsorted(begin[r["shard"]], r["slot"], "right")) - 1) for r in rows)
+    for p in range(4):
+        assert [seen[p, c] for c in range(len(sizes))] == sharding.matrix_row(counts, sizes, p, sharding.SEED).tolist()
+
+
+def test_sharding_query(spark, tmp_path):
+    """The query against its contract, row by row."""
+    docs = [(1, "abc"), (1, "abc"), (None, None), (3, ""), (4, "é" * 40_000), *((i, "abc") for i in range(5, 60))]
+    spark.createDataFrame([(i, t, "z") for i, t in docs], "doc_id long, text string, slot string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sharding.op6_hypergeometric_sharding(spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=repr) == sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs), key=repr)
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
+    sizes = Counter(r["shard"] for r in rows)
+    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s])) for s in range(16))
+
+
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
 
 
