@@ -115,3 +115,32 @@ def keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out.append(p << 2 * K | a[own, 0] << K | b[own, k])
             of.append(own)
     return np.concatenate(out), np.concatenate(of)
+
+
+#: First bits and widths of the parts of a segment that further keys are made of.
+PARTS = [(0, 7), (7, 7), (14, 8)]
+
+
+def further_keys(fingerprints: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Further keys (44 bits) of fingerprints that share a long key, and the row of each.
+
+    The key's two segments have at most 2 errors, the third at most 4.  Cut into
+    three parts, some two of its parts have at most 2 errors together, so two
+    words of these parts that take all words within distance 1 share one.
+    """
+    out, of = [], []
+    pair_of = keys >> 2 * K
+    for p, (i, j) in enumerate(PAIRS):
+        rows = np.flatnonzero(pair_of == p)
+        if not len(rows):
+            continue
+        first, width = SEGMENTS[3 - i - j]
+        word = (fingerprints[rows] >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int64)
+        part = [word >> a & (1 << w) - 1 for a, w in PARTS]
+        for q, (a, b) in enumerate(PAIRS):
+            both = part[a] << PARTS[b][1] | part[b]
+            for flip in [0, *(1 << k for k in range(PARTS[a][1] + PARTS[b][1]))]:
+                out.append((keys[rows] << 2 | q) << 16 | both ^ flip)
+                of.append(rows)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out]), np.concatenate([none, *of])

@@ -1,19 +1,25 @@
 """Near-duplicates by SimHash fingerprints and Golay-code keys.
 
-Fingerprints are computed in one pass.  Documents with the same fingerprint
-are one class, named by its smallest id; only classes are compared.  Each
-class gets about 29 keys (see ``golay``); classes that share a key are sorted
-next to each other and verified by the number of differing bits.  Within a key
-only links that join two groups are told, so a key shared by k classes yields
-at most k - 1 links, and verified pairs already joined are skipped.
-Components of the links then name each document's group.
+Fingerprints are computed in one pass (a call of the hash library per shingle;
+majorities are array operations).  Documents with the same fingerprint are one
+class, named by its smallest id; only classes are compared.  Each class gets
+about 29 keys (see ``golay``); classes that share a key are sorted next to each
+other and verified by the number of differing bits.  Within a key only links
+that join two groups are told, so a key shared by k classes yields at most
+k - 1 links, verified pairs already joined are skipped, and a key is done as
+soon as its classes are one group.  Keys with more than ``LONG_KEY`` classes
+are not compared at once: each of their classes gets further keys from the
+third segment (see ``golay.further_keys``), by which they are shuffled again,
+so no task holds such a key.  Components of the links then name each group.
 
 Defined results: null and empty texts, and texts of separators, have
 fingerprint 0 and are linked like any other; texts of fewer words than a
-shingle have one shingle of all their words; documents with a null id belong
-to the group of their fingerprint but never name it (a group of such documents
-alone has a null component); repeated rows repeat; further columns are ignored
-by ``simhash_groups``.
+shingle have one shingle of all their words; very long texts are hashed whole;
+documents with a null id belong to the group of their fingerprint but never
+name it (a group of such documents alone has a null component); repeated rows
+repeat, and are ties that share a class; an empty table gives no rows; further
+columns are ignored by ``simhash_groups`` and kept by ``keep_one``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,12 +35,16 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..storage import materialize
-from .common import chunks, table
-from .golay import keys
+from .common import chunks, fresh, table
+from .golay import further_keys, keys
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Rows of whole key groups that are compared at once.
 ROWS_AT_ONCE = 1 << 18
+#: Fingerprints of one key that are compared pair by pair; more are dealt out by further keys.
+LONG_KEY = 1 << 14
+#: Ids that are sent to every executor at once, at most (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 GROUPS = "doc_id long, fingerprint string, component_id long"
 
@@ -89,6 +99,8 @@ def join_groups(key: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.n
     n = len(key)
     parent = np.arange(n)
     root = np.arange(n)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, n))
     left, right = [], []
 
     def find(i: int) -> int:
@@ -118,33 +130,62 @@ def join_groups(key: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.n
             while not np.array_equal(further := root[root], root):
                 root = further
             parent[:] = root
+            if shift & (shift - 1) == 0 or shift % 64 == 0:  # keys that are one group are done
+                whole = np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first)
+                active = active[~np.repeat(whole, size)[active]]
         shift += 1
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _links(bits: int):
-    """Streams rows sorted by key; whole key groups are compared, the last one waits for the next batch."""
+def _links(bits: int, longest: int | None = None):
+    """Streams rows sorted by key: (src, dst, false) are links. Whole key groups are compared, the last one waits for the next batch; those of more than ``longest`` rows are told as (key, fp, true) instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        waiting = 0
-
-        def compare(rows: np.ndarray) -> pa.RecordBatch:
-            a, b = join_groups(rows[0], rows[1].view(np.uint64), bits)
-            return pa.RecordBatch.from_arrays([pa.array(rows[1][a]), pa.array(rows[1][b])], ["src", "dst"])
+        waiting, passed = 0, None
+
+        def told(a: np.ndarray, b: np.ndarray, is_long: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), is_long))], ["src", "dst", "long"])
+
+        def compare(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if longest is not None:
+                first = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))
+                size = np.diff(np.append(first, rows.shape[1]))
+                over = np.repeat(size > longest, size)
+                if over.any():
+                    yield told(rows[0][over], rows[1][over], True)
+                    rows = rows[:, ~over]
+            if rows.shape[1]:
+                a, b = join_groups(rows[0], rows[1].view(np.uint64), bits)
+                yield told(rows[1][a], rows[1][b], False)
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "fp")]))
-                waiting += batch.num_rows
+            if not batch.num_rows:
+                continue
+            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "fp")])
+            if passed is not None:  # a key that was found to be long goes on
+                n = int(np.searchsorted(new[0], passed, "right"))
+                if n:
+                    yield told(new[0][:n], new[1][:n], True)
+                    new = new[:, n:]
+                if not new.shape[1]:
+                    continue
+                passed = None
+            held.append(new)
+            waiting += new.shape[1]
             if waiting >= ROWS_AT_ONCE:
                 rows = np.concatenate(held, axis=1)
                 cut = int(np.searchsorted(rows[0], rows[0][-1]))
                 if cut:
-                    yield compare(rows[:, :cut])
-                held, waiting = [rows[:, cut:]], rows.shape[1] - cut
+                    yield from compare(rows[:, :cut])
+                rest = rows[:, cut:]
+                if longest is not None and rest.shape[1] > longest:
+                    yield told(rest[0], rest[1], True)
+                    passed, held, waiting = rest[0][0], [], 0
+                else:
+                    held, waiting = [rest], rest.shape[1]
         if waiting:
-            yield compare(np.concatenate(held, axis=1))
+            yield from compare(np.concatenate(held, axis=1))
 
     return run
 
@@ -162,9 +203,20 @@ def classes(known: DataFrame, bits: int = BITS) -> DataFrame:
             key, of = keys(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp[of])], ["key", "fp"])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def send_further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("dst").to_numpy(zero_copy_only=False).astype(np.int64)
+            key, of = further_keys(fp.view(np.uint64), batch.column("src").to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[of])], ["key", "fp"])
+
+    n, told = int(spark.conf.get("spark.sql.shuffle.partitions")), "src long, dst long, long boolean"
     sent = nodes.select("fp").mapInArrow(send, "key int, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
-    links = materialize(sent.mapInArrow(_links(bits), "src long, dst long"), "links")
+    links = materialize(sent.mapInArrow(_links(bits, LONG_KEY), told), "links")
+    over = links.where("long").count()
+    if over:
+        more = links.where("long").select("src", "dst").mapInArrow(send_further, "key long, fp long").repartition(max(n, over // 20_000), "key").sortWithinPartitions("key", "fp")
+        links = materialize(links.where("NOT long").union(more.mapInArrow(_links(bits), told)), "links")
+    links = links.select("src", "dst")
     found = materialize(connected_components(links).withColumnRenamed("id", "fp").join(nodes, "fp"), "linked")
     least = found.groupBy("component").agg(F.min("node").alias("least"))
     group = found.join(least, "component").select("fp", "component", "least")
@@ -182,32 +234,47 @@ def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def _send_few(ids: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` ids as a join's side: broadcast if it is small, else shuffled."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+
 def keep_one(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns: one with the id that names the group.
 
-    Groups in which no row has an id keep one row. An id on different texts is
-    told apart by the texts' fingerprints, so each of their groups keeps one row.
+    Groups in which no row has an id keep one row.  An id on several rows does
+    not tell them apart: their texts are fingerprinted again, so each group
+    keeps one row of its own, and rows of other groups stay.  Only ids and
+    fingerprints are compared; texts move only where an id stands on several
+    rows or is null, or where more than ``BROADCAST_IDS`` documents go.
     """
-    known = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    grouped = known.join(classes(known, bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    several = known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("doc_id", F.lit(True).alias("several"))
-    named = grouped.groupBy("link").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"))
-    chosen = materialize(named.join(several, "doc_id", "left").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), (F.col("doc_id").isNull() | F.col("several").isNotNull()).alias("unsure")), "chosen")
-    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
-    kept = rows.join(chosen.where("NOT unsure"), "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
-    unsure = chosen.where("unsure").select("__id", "__fp")
-    if not unsure.limit(1).count():
+    idc, fpc = fresh(docs.columns, "id", "fp")
+    known = materialize(fingerprints(docs, id_col, text_col).select(F.col("doc_id").alias(idc), F.col("fp").alias(fpc)), "fingerprints")
+    named = classes(known.select(F.col(idc).alias("doc_id"), F.col(fpc).alias("fp")), bits).select(F.col("fp").alias(fpc), "link")
+    # nulls sort last, so a group is named by its smallest id if it has any
+    least = F.min(F.struct(F.col(idc).isNull().alias("none"), F.col(idc), F.col(fpc)))
+    chosen = materialize(known.join(named, fpc).groupBy("link").agg(least.alias("c")).select(f"c.{idc}", f"c.{fpc}"), "chosen")
+    rows = materialize(known.where(F.col(idc).isNotNull()).groupBy(idc).agg(F.count("*").alias("n"), F.min(fpc).alias(fpc)), "rows")
+    several = rows.where("n > 1").select(idc)
+    lost = rows.where("n = 1").join(chosen, [idc, fpc], "left_anti").select(idc)
+    away = materialize(lost.union(several), "away")
+    keyed = docs.withColumn(idc, F.col(id_col).cast("long"))
+    kept = keyed.where(F.col(idc).isNotNull()).join(_send_few(away, away.count()), idc, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    n_several, n_null = several.count(), known.where(F.col(idc).isNull()).limit(1).count()
+    if not n_several and not n_null:
         return kept
-    # an id alone does not tell these rows apart: their texts are fingerprinted again
-    doubtful = rows.where("__id IS NULL").unionByName(rows.join(unsure, "__id", "left_semi"))
-    marked = doubtful.mapInArrow(_with_fingerprint(text_col), T.StructType([*rows.schema.fields, T.StructField("__fp", T.LongType())]))
-    same = marked["__fp"].eqNullSafe(unsure["__fp"]) & marked["__id"].eqNullSafe(unsure["__id"])
-    return kept.unionByName(marked.join(unsure, same, "left_semi").dropDuplicates(["__id", "__fp"]).drop("__id", "__fp"))
+    doubtful = keyed.where(F.col(idc).isNull())
+    if n_several:
+        doubtful = doubtful.unionByName(keyed.join(_send_few(several, n_several), idc, "left_semi").select(*(F.col(f"`{c}`") for c in keyed.columns)))
+    marked = doubtful.mapInArrow(_with_fingerprint(text_col, fpc), T.StructType([*keyed.schema.fields, T.StructField(fpc, T.LongType())]))
+    same = marked[fpc].eqNullSafe(chosen[fpc]) & marked[idc].eqNullSafe(chosen[idc])
+    one = marked.join(chosen, same, "left_semi").dropDuplicates([idc, fpc])
+    return kept.unionByName(one.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
-def _with_fingerprint(text_col: str):
+def _with_fingerprint(text_col: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in chunks(batches, text_col):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprint_texts(data, at).view(np.int64))], [*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprint_texts(data, at).view(np.int64))], [*batch.schema.names, name])
 
     return run

@@ -111,6 +111,75 @@ def test_keep_one_of_each_group(spark):
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, a, 7), (1, b, 7), (None, c, 7)], key=repr)
 
 
+def test_clashing_names_and_odd_tables(spark):
+    """Working columns do not disturb the input's; an empty table, one of nulls, and a table whose losers are joined by a shuffle."""
+    a, b = "one two three four five six", "nothing like it at all here"
+    names = ["id", "fp", "__id", "__fp", "ID_", "link", "component_id", "n", "c", "doc"]
+    df = spark.createDataFrame([(i, t, *names) for i, t in [(1, a), (2, a), (None, a), (3, b), (3, b), (None, None)]], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=repr) == sorted([(1, a, *names), (3, b, *names), (None, None, *names)], key=repr)
+    assert simhash.keep_one(df.limit(0)).collect() == []
+
+
+def test_losers_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    test_keep_one(spark)
+    test_keep_one_of_each_group(spark)
+
+
+def hamming_groups(fps):
+    """Component numbers of fingerprints linked at 4 or fewer bits, by comparing all of them with all in blocks."""
+    label = np.arange(len(fps))
+    while True:
+        new = label.copy()
+        for a in range(0, len(fps), 256):
+            close = np.bitwise_count(fps[a : a + 256, None] ^ fps[None, :]) <= 4
+            new[a : a + 256] = np.where(close, label[None, :], len(fps)).min(1)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("errors", range(5))
+def test_further_keys_meet(errors):
+    """Two fingerprints that share a key with at most 2 errors outside the third segment meet again."""
+    rng = np.random.default_rng(errors)
+    for p, (i, j) in enumerate(golay.PAIRS):
+        first, width = golay.SEGMENTS[3 - i - j]
+        a = rng.integers(0, 2**64, 200, dtype=np.uint64)
+        b = a.copy()
+        for r in range(len(b)):
+            for bit in rng.choice(width, errors, replace=False):
+                b[r] ^= np.uint64(1) << np.uint64(first + bit)
+        key = np.full(200, p << 24)
+        met = [set(zip(of.tolist(), k.tolist())) for k, of in (golay.further_keys(a, key), golay.further_keys(b, key))]
+        assert {o for o, _ in met[0] & met[1]} == set(range(200))
+
+
+@pytest.mark.parametrize("rows_at_once", [simhash.ROWS_AT_ONCE, 500])
+def test_long_keys(spark, monkeypatch, rows_at_once):
+    """Thousands of fingerprints that agree in two segments, some chains among them, with a small bound for long keys."""
+    monkeypatch.setattr(simhash, "ROWS_AT_ONCE", rows_at_once)
+    monkeypatch.setattr(simhash, "LONG_KEY", 200)
+    rng = np.random.default_rng(3)
+    fps = np.unique(np.concatenate([rng.integers(0, 1 << 21, 1500, dtype=np.uint64) << np.uint64(43), rng.integers(0, 1 << 22, 800, dtype=np.uint64), rng.integers(0, 2**64, 300, dtype=np.uint64)]))
+    known = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fps.view(np.int64))], "doc_id long, fp long")
+    got = {r["fp"]: r["component_id"] for r in simhash.classes(known).collect()}
+    assert [got[int(f)] for f in fps.view(np.int64)] == hamming_groups(fps).tolist()
+
+
+def test_a_key_of_50_000(spark):
+    """50,000 fingerprints under one key: its rows are dealt out, and the groups are those of a comparison within windows of the third segment."""
+    rng = np.random.default_rng(4)
+    third = rng.choice(1 << 21, 50_000, replace=False).astype(np.uint64)
+    key, of = golay.further_keys(third << np.uint64(43), np.zeros(50_000, np.int64))
+    assert np.bincount(np.unique(key, return_inverse=True)[1]).max() < 2_000 and len(key) < 50 * 50_000
+    known = spark.createDataFrame([(i, int(f)) for i, f in enumerate((third << np.uint64(43)).view(np.int64))], "doc_id long, fp long").repartition(8)
+    # one word in 42 of all words of 21 bits, chosen by chance: each has some 180 neighbours, and all are one group
+    assert {r["component_id"] for r in simhash.classes(known).collect()} == {0}
+
+
 @pytest.mark.parametrize("operator", [simhash.simhash_groups, simhash.keep_one])
 def test_no_links_beyond_the_keys(spark, operator):
     with pytest.raises(ValueError, match="at most 4 bits"):
