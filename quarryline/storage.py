@@ -1,8 +1,8 @@
 """Where intermediate tables live.
 
 Lineage is cut by writing Parquet tables below ``spark.checkpoint.dir``, the
-folder that the driver and every executor share; only if the session has none
-(as in tests) a folder of this machine is used.
+folder that the driver and every executor share; only a local session that has none (as in
+tests) uses a folder of this machine.
 """
 
 from __future__ import annotations
@@ -22,7 +22,11 @@ def work_dir(spark: SparkSession) -> str:
     if app not in _own:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="quarryline-")
+            base = spark.sparkContext.getCheckpointDir()
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="quarryline-")
         _own[app] = f"{base.rstrip('/')}/quarryline-{app}-{uuid.uuid4().hex[:8]}"
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(_own[app])
@@ -56,11 +60,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_by(df: DataFrame, key: str, name: str = "table") -> DataFrame:
-    """Like ``materialize``, but rows lie in buckets of ``key``: joins and groups by it read them without a shuffle."""
+def materialize_by(df: DataFrame, key: str, name: str = "table", buckets: int | None = None) -> DataFrame:
+    """Like ``materialize``, but rows lie in buckets of ``key`` (as many as there are shuffle partitions, or ``buckets``): joins and groups by it read them without a shuffle."""
     spark = df.sparkSession
     path, table = new_path(spark, name), f"quarryline_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(table)
+    df.write.bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(table)
     found = spark.table(table).select("*")
     spark.sql(f"DROP TABLE {table}")  # the plan keeps the files and their buckets; the catalog needs no entry
     return found
