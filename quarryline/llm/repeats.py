@@ -9,21 +9,31 @@ another mostly share theirs, so a text falls into pieces with one anchor each.
 1. Blocks send their distinct anchors (6 bytes each, delta-coded) to buckets,
    which tell each block the anchors that occur in another document.
 2. Blocks send the pieces with such anchors, identical pieces once, to buckets
-   by anchor.  A bucket sorts the suffixes of its distinct pieces (see
-   ``suffixes``), finds runs that agree over ``width`` bytes, and answers with
-   one bit per string: whether a document with a smaller id has it.
+   by anchor.  A bucket merges identical pieces (the smallest id of their
+   documents is all that counts of them), sorts the suffixes of those whose
+   anchor has several pieces (see ``suffixes``), finds runs that agree over
+   ``width`` bytes, and answers with one bit per string: whether a document
+   with a smaller id has it.
 3. Blocks put the bits together and remove the covered bytes.
 
+A passage with very many different contexts gives its anchor a piece for each
+context.  Buckets with more than ``HOT_BYTES`` of pieces are therefore cut once
+more: their strings travel one by one to buckets by a hash of the whole string,
+are suffix-sorted there in the same way, and their bits are put together by
+block.  What a bucket holds then follows the number of blocks that one string
+stands in (a string is sent once per block), not the number of its contexts.
+
 Only anchors, shared pieces and bits travel: blocks lie in buckets of their
-number and are joined with what they are sent where they are.  A block sends a piece once however many of its documents have it,
-so a passage or document with very many copies adds at most one piece for
-each block to a bucket.  All tables between the steps lie in the shared folder.
+number and are joined with what they are sent where they are.  The numbers of
+all buckets follow the bytes of the texts.  All tables between the steps lie in
+the shared folder.
 
 Defined results: null and empty texts have no bytes; texts shorter than
 ``width`` stay; rows with the same id never remove each other's bytes, so
 repeated rows keep what one of them keeps; a null id counts as larger than all
-others; ties cannot occur, since only the smallest id matters.  A single
-document must fit into a worker's memory.
+others; ties cannot occur, since only the smallest id matters; an empty table
+gives no rows; very long texts are a block each, so a single document must fit
+into a worker's memory; ``remove_repeats`` keeps further columns of any name.
 """
 
 from __future__ import annotations
@@ -50,6 +60,10 @@ BLOCK_BYTES = 4 << 20
 PIECES_AT_ONCE = 1 << 20
 #: Mean bytes of anchors, and of texts whose pieces meet, for each bucket.
 ANCHOR_BUCKET, PIECE_BUCKET = 4 << 20, 4 << 20
+#: Bytes of texts whose blocks one task reads, about.
+BLOCKS_BUCKET = 32 << 20
+#: Bytes of pieces beyond which a bucket is cut into strings.
+HOT_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).max
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -57,7 +71,9 @@ _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 BLOCKS = "block long, bytes long, payload binary"
 ANCHORS = "bucket int, block long, anchors binary"
-TRAFFIC = "kind int, block long, bucket int, data binary, more binary"
+TRAFFIC = "kind int, block long, bucket int, size long, data binary, more binary"
+STRINGS = "sub int, block long, bucket int, data binary, more binary"
+MARKS = "block long, bucket int, count long, data binary"
 PIECES, PLACES, BITS = 0, 1, 2
 
 
@@ -208,9 +224,9 @@ Emit = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.RecordB
 """(rows, bytes, offsets, removed) -> result rows; ``removed`` marks bytes."""
 
 
-def _traffic(kind: int, block: int, data: list[bytes], buckets: list[int] | None = None, more: list[bytes] | None = None) -> pa.Table:
+def _traffic(kind: int, block: list[int], data: list[bytes], buckets: list[int] | None = None, sizes: list[int] | None = None, more: list[bytes] | None = None) -> pa.Table:
     n = len(data)
-    return pa.table([pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(buckets or [None] * n, pa.int32()), pa.array(data, pa.binary()), pa.array(more or [None] * n, pa.binary())], names=["kind", "block", "bucket", "data", "more"])
+    return pa.table([pa.array([kind] * n, pa.int32()), pa.array(block, pa.int64()), pa.array(buckets or [None] * n, pa.int32()), pa.array(sizes or [None] * n, pa.int64()), pa.array(data, pa.binary()), pa.array(more or [None] * n, pa.binary())], names=["kind", "block", "bucket", "size", "data", "more"])
 
 
 def _join_fields(parts: list[np.ndarray]) -> bytes:
@@ -221,7 +237,7 @@ def _send_pieces(id_col: str, text_col: str, width: int, anchor_buckets: int, pi
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         """The distinct pieces of a block with shared anchors, by bucket (PIECES), and where they stand in the block (PLACES)."""
         if not blocks.num_rows or not answers.num_rows:
-            return _traffic(PIECES, 0, [])
+            return _traffic(PIECES, [], [])
         block = blocks.column("block")[0].as_py()
         batch = _from_ipc(blocks.column("payload")[0].as_py())
         data, at = _text(batch, text_col)
@@ -241,18 +257,19 @@ def _send_pieces(id_col: str, text_col: str, width: int, anchor_buckets: int, pi
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(piece_buckets + 1))
         full = np.flatnonzero(edge[1:] > edge[:-1])
-        payloads, more = [], []
+        payloads, sizes, more = [], [], []
         for b in full:
             own = order[edge[b] : edge[b + 1]]
             d, a = byte_view(coded.dictionary.take(pa.array(own)))
             low = int(owner[own].min())
             payloads.append(_squeeze(d.tobytes(), 3))
+            sizes.append(len(d))
             more.append(_join_fields([np.diff(a), owner[own] - low, code_anchor[own]]) + low.to_bytes(8, "little"))
         place = np.empty(size, np.int64)
         place[order] = np.arange(size)
         late = (ids[doc] != owner[code]).astype(np.int64)
         places = _join_fields([np.diff(start, prepend=0), count, place[code] * 2 + late, (edge[1:] - edge[:-1])[full]])
-        return pa.concat_tables([_traffic(PIECES, block, payloads, full.tolist(), more), _traffic(PLACES, block, [places])])
+        return pa.concat_tables([_traffic(PIECES, [block] * len(full), payloads, full.tolist(), sizes, more), _traffic(PLACES, [block], [places])])
 
     return run
 
@@ -295,29 +312,117 @@ def _sort_pieces(width: int):
         own = np.flatnonzero(several)
         if len(own):
             inner = byte_view(coded.dictionary.take(pa.array(own)))
-            sorter = SuffixSorter(inner[0])
             slot = spans_to_index(begin[own], count[own])
-            starts = spans_to_index(inner[1][:-1], count[own])
-            index = np.full(len(inner[0]) + 1, -1, np.int64)
-            index[starts] = slot
-            for bucket in sorter.buckets(starts):
-                if len(bucket) > 1:
-                    alike = np.append(False, sorter.same(bucket[:-1], bucket[1:], width))
-                    run_first = np.flatnonzero(~alike)
-                    low = np.minimum.reduceat(smallest[index[bucket]], run_first)
-                    smallest[index[bucket]] = np.repeat(low, np.diff(np.append(run_first, len(bucket))))
+            smallest[slot] = least_of_equal(inner[0], spans_to_index(inner[1][:-1], count[own]), smallest[slot], width)
         answer, at_row = [], 0
         for k in sizes:
             c = code[at_row : at_row + k]
             strings = spans_to_index(begin[c], count[c])
             answer.append(np.packbits(smallest[strings] < np.repeat(owner[at_row : at_row + k], count[c])).tobytes())
             at_row += k
-        n = rows.num_rows
-        return pa.table([pa.array([BITS] * n, pa.int32()), rows.column("block"), rows.column("bucket"), pa.array([_squeeze(x) for x in answer], pa.binary()), pa.nulls(n, pa.binary())], names=["kind", "block", "bucket", "data", "more"])
+        return _traffic(BITS, rows.column("block").to_pylist(), [_squeeze(x) for x in answer], rows.column("bucket").to_pylist())
+
+    return run
+
+
+def least_of_equal(data: np.ndarray, starts: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """For each string data[starts[i]:starts[i] + width] the least value among all strings equal to it, by sorting the suffixes bucket by bucket."""
+    sorter = SuffixSorter(data)
+    index = np.full(len(data) + 1, -1, np.int64)
+    index[starts] = np.arange(len(starts))
+    out = values.copy()
+    for bucket in sorter.buckets(starts):
+        if len(bucket) > 1:
+            alike = np.append(False, sorter.same(bucket[:-1], bucket[1:], width))
+            first = np.flatnonzero(~alike)
+            own = index[bucket]
+            out[own] = np.repeat(np.minimum.reduceat(values[own], first), np.diff(np.append(first, len(bucket))))
+    return out
+
+
+def _cut_strings(width: int, n_sub: int):
+    """The pieces of hot buckets as single strings, by a hash of the string; ``more`` holds places among the payload's strings and owners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split(" ")[0] for x in STRINGS.split(", ")]
+        for batch in batches:
+            for block, bucket, payload, more in zip(batch.column("block").to_pylist(), batch.column("bucket").to_pylist(), batch.column("data"), batch.column("more"), strict=True):
+                (length, owner, _), low = _fields(more.as_py(), 3)
+                data = np.frombuffer(_swell(payload.as_py()), np.uint8)
+                count = length - width + 1
+                place = 0
+                # some pieces at once, as single strings take many times their bytes
+                for first, last in _parts(count, PIECES_AT_ONCE // width):
+                    starts = spans_to_index((np.cumsum(length) - length)[first:last], count[first:last])
+                    whose = np.repeat(owner[first:last], count[first:last])
+                    sub = (_string_hash(data, starts, width) % np.uint64(n_sub)).astype(np.int64)
+                    order = np.argsort(sub, kind="stable")
+                    edge = np.flatnonzero(np.append(True, np.diff(sub[order]) != 0))
+                    rows = []
+                    for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
+                        own = order[a:b]
+                        text = data[spans_to_index(starts[own], np.full(len(own), width))]
+                        rows.append((int(sub[own[0]]), block, bucket, _squeeze(text.tobytes()), _join_fields([np.diff(own + place, prepend=0), whose[own]]) + low))
+                    place += len(starts)
+                    cols = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+
+    return run
+
+
+def _parts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose sizes add up to about ``limit``, or of one item."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + limit, "right")) - 1)
+        yield first, last
+        first = last
+
+
+def _string_hash(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.ndarray((len(data),), "<u8", buffer=padded, strides=(1,))
+    h = np.zeros(len(starts), np.uint64)
+    if width < 8:
+        for k in range(width):
+            h = _mix(h ^ (data[starts + k].astype(np.uint64) * _C))
+        return h
+    for k in [*range(0, width - 7, 8), width - 8]:
+        h = _mix(h ^ (word[starts + k] * _C))
+    return _mix(h)
+
+
+def _settle_strings(width: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Of one bucket of single strings: the places, for each block and bucket that sent some, of those that a document with a smaller id has."""
+        texts, owners, places, sizes = [], [], [], []
+        for payload, more in zip(rows.column("data"), rows.column("more"), strict=True):
+            (place, owner), low = _fields(more.as_py(), 2)
+            texts.append(_swell(payload.as_py()))
+            owners.append(owner + int.from_bytes(low, "little"))
+            places.append(np.cumsum(place))
+            sizes.append(len(place))
+        owner = np.concatenate(owners)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        late = least_of_equal(data, np.arange(len(owner)) * width, owner, width) < owner
+        out, at = [], 0
+        for place, n in zip(places, sizes, strict=True):
+            out.append(_pack_sorted(place[late[at : at + n]]))
+            at += n
+        return pa.table([rows.column("block"), rows.column("bucket"), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["block", "bucket", "count", "data"])
 
     return run
 
 
+def _join_marks(rows: pa.Table) -> pa.Table:
+    """Of one block and bucket: the bits of its strings from the places that are marked."""
+    bits = np.zeros(sum(rows.column("count").to_pylist()), np.uint8)
+    for x in rows.column("data"):
+        bits[_unpack_sorted(x.as_py())] = 1
+    return _traffic(BITS, [rows.column("block")[0].as_py()], [_squeeze(np.packbits(bits).tobytes())], [rows.column("bucket")[0].as_py()])
+
+
 def _finish(text_col: str, width: int, emit: Emit, names: list[str]):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         if not blocks.num_rows:
@@ -352,7 +457,7 @@ def _finish(text_col: str, width: int, emit: Emit, names: list[str]):
     return run
 
 
-def process(docs: DataFrame, emit: Emit, schema: T.StructType | str, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def process(docs: DataFrame, emit: Emit, schema: T.StructType | str, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Rows that ``emit`` makes of each block's documents and their removed bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,19 +465,33 @@ def process(docs: DataFrame, emit: Emit, schema: T.StructType | str, width: int
         for i, (batch, data, _) in enumerate(chunks(batches, text_col, block_bytes)):
             yield pa.RecordBatch.from_arrays([pa.array([part + i], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([_to_ipc(batch)], pa.binary())], ["block", "bytes", "payload"])
 
-    blocks = materialize_by(docs.mapInArrow(pack, BLOCKS), "block", "blocks")
-    total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    anchor_buckets = max(16, -(-total * 45 // 100 // ANCHOR_BUCKET))
-    piece_buckets = max(32, -(-total // PIECE_BUCKET))
-    blocks = blocks.select("block", "payload")
-    sent = blocks.mapInArrow(_send_anchors(id_col, text_col, width, anchor_buckets), ANCHORS)
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = max(shuffle, -(-total // BLOCKS_BUCKET))
+    anchor_buckets, piece_buckets = max(16, -(-total * 45 // 100 // ANCHOR_BUCKET)), max(32, -(-total // PIECE_BUCKET))
+    spread = lambda df, n, key: df.repartition(n, key) if n > shuffle else df
+    blocks = materialize_by(docs.mapInArrow(pack, BLOCKS), "block", "blocks", n_blocks).select("block", "payload")
+    sent = spread(blocks.mapInArrow(_send_anchors(id_col, text_col, width, anchor_buckets), ANCHORS), anchor_buckets, "bucket")
     shared = materialize(sent.groupBy("bucket").applyInArrow(_meet_anchors, ANCHORS), "shared")
     del sent
     traffic = materialize(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(id_col, text_col, width, anchor_buckets, piece_buckets), TRAFFIC), "pieces")
     del shared
-    release(docs.sparkSession)
-    bits = traffic.where(F.col("kind") == PIECES).groupBy("bucket").applyInArrow(_sort_pieces(width), TRAFFIC)
-    answers = traffic.where(F.col("kind") == PLACES).union(bits)
+    release(spark)
+    sent = traffic.where(F.col("kind") == PIECES)
+    sizes = sent.groupBy("bucket").agg(F.sum("size").alias("n")).where(F.col("n") > hot_bytes)
+    hot = materialize(sizes, "hot")  # at most total / hot_bytes numbers
+    n_hot = hot.agg(F.sum("n").alias("n")).first()["n"] or 0
+    answers = traffic.where(F.col("kind") == PLACES)
+    if n_hot:
+        known = F.broadcast(hot.select("bucket"))
+        n_sub = max(shuffle, -(-n_hot * width // 4 // PIECE_BUCKET))  # a piece has about four times its bytes / width strings at most
+        strings = sent.join(known, "bucket", "left_semi").mapInArrow(_cut_strings(width, n_sub), STRINGS)
+        marks = materialize(spread(strings, n_sub, "sub").groupBy("sub").applyInArrow(_settle_strings(width), MARKS), "marks")
+        answers = answers.union(marks.groupBy("block", "bucket").applyInArrow(_join_marks, TRAFFIC))
+        sent = sent.join(known, "bucket", "left_anti")
+    bits = spread(sent.select(*(x.split(" ")[0] for x in TRAFFIC.split(", "))), piece_buckets, "bucket").groupBy("bucket").applyInArrow(_sort_pieces(width), TRAFFIC)
+    answers = answers.union(bits)
     names = T._parse_datatype_string(schema).names if isinstance(schema, str) else schema.names
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(text_col, width, emit, names), schema)
 
