@@ -22,7 +22,8 @@ _SLOT = np.full(V, -1)
 _SLOT[list(COVER)] = range(len(COVER))
 SHIFT = np.array([[next(k for k in range(V) if (a + k) % V in COVER and (b + k) % V in COVER) for b in range(V)] for a in range(V)])
 
-def _first_alike(*keys: np.ndarray) -> np.ndarray:
+
+def first_alike(*keys: np.ndarray) -> np.ndarray:
     """In sorted keys, for each place the first place with the same key."""
     new = np.zeros(len(keys[0]), bool)
     new[:1] = True
@@ -54,7 +55,7 @@ class SuffixSorter:
         key = (word * (V + 1) + left).reshape(-1)
         order = np.argsort(key, kind="stable")
         rank = np.empty(len(key), np.int64)
-        rank[order] = _first_alike(key[order])
+        rank[order] = first_alike(key[order])
         # ranks are places of groups of equal suffixes; doubling splits the groups that are left
         step, real = 1, left.reshape(-1) > 0
         while step < columns:
@@ -64,7 +65,7 @@ class SuffixSorter:
             further = np.where(tied % columns + step < columns, rank[np.minimum(tied + step, len(rank) - 1)] + 1, 0)
             order = np.lexsort((further, rank[tied]))
             own, further = rank[tied[order]], further[order]
-            rank[tied[order]] = own + _first_alike(own, further) - _first_alike(own)
+            rank[tied[order]] = own + first_alike(own, further) - first_alike(own)
             step *= 2
         self.rank = rank.reshape(word.shape)
 
