@@ -7,9 +7,11 @@ are added to the feature's lookup table (cyclic boosting); the pairs of
 features that lower the loss most then get two-dimensional tables the same way.
 A score is the sum of table entries, looked up for a whole batch at once.
 
-Defined results: null and empty texts have zero features and get a score;
-labels that are null are not used, several labels of a document count as their
-largest; without any usable label every score is 0.5; repeated rows repeat;
+Defined results: null and empty texts have zero features and get a score; very
+long texts are read whole; documents with a null id get a score and are never
+learned from; labels that are null are not used, several labels of a document
+count as their largest; equal hashes are resolved by id; without any usable
+label every score is 0.5; repeated rows repeat; empty tables give no rows;
 further columns are ignored.
 """
 
@@ -228,9 +230,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit(known: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, **options) -> Additive:
-    """``known``: doc_id and f. Learns from the ``train_rows`` labelled documents whose ids have the smallest hashes."""
+    """``known``: doc_id and f. Learns from at most ``train_rows`` labelled rows, those whose ids have the smallest hashes; rows alike in id and features count once."""
     sample = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = known.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "f").limit(2 * train_rows).toArrow()  # at most train_rows ids are broadcast
+    rows = known.join(F.broadcast(sample), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(train_rows).orderBy("doc_id", "f").toArrow()  # at most train_rows ids are broadcast
     x = np.concatenate([_matrix(c) for c in rows.column("f").chunks]) if rows.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     return learn(x.astype(np.float64), rows.column("y").to_numpy().astype(np.float64), **options)
 

@@ -3,21 +3,30 @@
 Labels mark documents, so tokens are labelled first: in the labelled sample,
 features of words (the word, its prefixes and suffixes) are counted in toxic
 and clean documents, and a token of a toxic document is toxic if one of its
-features is far more frequent there.  On windows of these tokens a two-state
-chain is trained by gradient ascent on its likelihood (forward-backward).  To
-score a text, forward-backward gives each token's marginal; the largest
-marginal and the expected number of toxic tokens are mapped to the document's
-score by a logistic regression, and runs of likely tokens are the offending
-spans.
-
-Chains end with sentences and after ``CHAIN`` tokens.  Sentences without any
-known feature have marginals that depend on their length only.
+features is far more frequent there.  On all sentences of the sample a
+two-state chain is trained by gradient ascent on its likelihood
+(forward-backward); sentences without any known feature differ in length only,
+so they are sent to the driver as counts of lengths.  To score a text,
+forward-backward gives each token's marginal; the largest marginal and the
+expected number of toxic tokens are mapped to the document's score by a
+logistic regression, and runs of likely tokens are the offending spans.
+
+Chains are whole sentences, whatever their length: many chains are computed as
+one sequence that starts anew at each of them, in blocks side by side, whose
+entries are told from block to block (see ``forward_backward``).
+
+The sample is bounded by ``TRAIN_ROWS`` documents and ``TRAIN_BYTES`` of text of
+each class, in the order of hashes; documents are taken whole.  Everything else
+looks at all of it.
 
 Defined results: null and empty texts, and texts without words, get the score
-of a text without a toxic token, and no spans; labels that are null are not
-used, several labels of a document count as their largest; without toxic and
-clean labels every score is 0; repeated rows repeat; further columns are kept
-by ``filter_toxic`` and ignored elsewhere.
+of a text without a toxic token, and no spans; very long texts are scored
+whole; documents with a null id are scored and never learned from; labels that
+are null are not used, several labels of a document count as their largest;
+equal hashes are resolved by id; repeated rows repeat, and are learned from
+once; without toxic and clean labels every score is 0; empty tables give no
+rows; further columns, whatever their names, are kept by ``filter_toxic`` and
+ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -34,15 +43,14 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 from .common import chunks, fold, slices, table, words
 
-#: Labelled documents of each class that the model is learned from, at most: those with the smallest hashes.
-TRAIN_ROWS = 5_000
-#: Features kept, at most: those with the largest log-odds for their count.
-LEXICON = 20_000
+#: Labelled documents of each class that the model is learned from, at most, and bytes of their texts: those with the smallest hashes.
+TRAIN_ROWS, TRAIN_BYTES = 5_000, 32 << 20
 LEAST_COUNT, LEAST_ODDS, TOKEN_ODDS = 4, 1.5, 2.5
-CHAIN, WINDOW = 64, 48
 EPOCHS, STEP, DECAY = 120, 0.3, 1e-4
 #: Document score from which a text is toxic, and marginal from which a token is.
 THRESHOLD, TOKEN_THRESHOLD = 0.3, 0.5
+#: Tokens of a block of ``forward_backward``, about.
+BLOCK = 256
 FOLDS, HELD_OUT = 4, 2
 
 #: Kinds of features: (first byte, past-the-end byte) of the word; a part must be shorter than the word.
@@ -88,34 +96,61 @@ class Chain:
         return total, known
 
 
-def _logaddexp(a: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a[..., 0], a[..., 1])
-
-
-def forward_backward(emit: np.ndarray, length: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For chains (rows, filled up to the same number of tokens) with toxic-state scores ``emit``: marginals of both states, expected moves of each chain, and log partition sums."""
-    n, steps = emit.shape
-    score = np.stack([np.zeros_like(emit), emit], axis=2)
-    alpha, beta = np.zeros((steps, n, 2)), np.zeros((steps, n, 2))
-    alpha[0] = start + score[:, 0]
-    for t in range(1, steps):
-        nxt = _logaddexp(np.moveaxis(alpha[t - 1][:, :, None] + move, 1, 2)) + score[:, t]
-        alpha[t] = np.where((t < length)[:, None], nxt, alpha[t - 1])
-    total = _logaddexp(alpha[-1])
-    for t in range(steps - 2, -1, -1):
-        prev = _logaddexp(move[None] + (score[:, t + 1] + beta[t + 1])[:, None, :])
-        beta[t] = np.where((t + 1 < length)[:, None], prev, 0.0)
-    marginal = np.exp(np.moveaxis(alpha + beta, 0, 1) - total[:, None, None])
-    moves = np.zeros((n, 2, 2))
-    for t in range(1, steps):
-        live = t < length
-        edge = alpha[t - 1][:, :, None] + move + (score[:, t] + beta[t])[:, None, :] - total[:, None, None]
-        moves[live] += np.exp(edge[live])
-    return marginal, moves, total
-
-
-def sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, longest: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """First words and lengths of all chains: words of a text between sentence ends, at most ``longest``."""
+def _scan(first: np.ndarray, out: np.ndarray, inner: np.ndarray, fresh: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """r[t] = scale[t] * (out[0] + out[1] * x) / (inner[0] + inner[1] * x) with x = r[t - 1], or scale[t] * first where ``fresh``.
+
+    The sequence is cut into blocks that are walked side by side, twice: first
+    each block's map from its entry to its exit (products of 2 x 2 matrices),
+    then, with the entries known, the values.
+    """
+    n = len(scale)
+    steps = min(n, BLOCK)
+    width = -(-n // steps)
+    fill = steps * width - n
+    e = np.concatenate([scale, np.ones(fill)]).reshape(width, steps).T.copy()
+    new = np.concatenate([fresh, np.ones(fill, bool)]).reshape(width, steps).T.copy()
+    p, q, s, t = np.ones(width), np.zeros(width), np.zeros(width), np.ones(width)
+    for k in range(steps):
+        top = e[k] * np.where(new[k], 0.0, out[1] * p + out[0] * s), e[k] * np.where(new[k], first, out[1] * q + out[0] * t)
+        low = np.where(new[k], 0.0, inner[1] * p + inner[0] * s), np.where(new[k], 1.0, inner[1] * q + inner[0] * t)
+        size = top[0] + top[1] + low[0] + low[1]
+        p, q, s, t = top[0] / size, top[1] / size, low[0] / size, low[1] / size
+    entry = np.empty(width)
+    x = 1.0
+    for b, (p1, q1, s1, t1) in enumerate(zip(p.tolist(), q.tolist(), s.tolist(), t.tolist(), strict=True)):
+        entry[b] = x
+        x = min(max((p1 * x + q1) / max(s1 * x + t1, 1e-300), 1e-150), 1e150)
+    r, x = np.empty((steps, width)), entry
+    for k in range(steps):
+        x = e[k] * np.where(new[k], first, (out[0] + out[1] * x) / (inner[0] + inner[1] * x))
+        r[k] = x
+    return r.T.reshape(-1)[:n]
+
+
+def forward_backward(emit: np.ndarray, new: np.ndarray, start: np.ndarray, move: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For chains one after another, which begin where ``new``, with toxic-state scores ``emit``: each token's marginal of the toxic state, and the expected moves (2 x 2), each token's times its weight.
+
+    Ratios of the two states stand for messages, so nothing overflows.
+    """
+    n = len(emit)
+    if not n:
+        return np.zeros(0), np.zeros((2, 2))
+    e, a = np.exp(np.clip(emit, -30, 30)), np.exp(np.clip(move, -30, 30))
+    ahead = _scan(np.exp(start[1] - start[0]), (a[0, 1], a[1, 1]), (a[0, 0], a[1, 0]), new, e)
+    # backwards the sequence of e[t] * b[t] is walked, where b[t] is the ratio behind t; at a chain's last token it is 1
+    last = np.append(new[1:], True)
+    behind = _scan(1.0, (a[1, 0], a[1, 1]), (a[0, 0], a[0, 1]), last[::-1], e[::-1])[::-1] / e
+    both = ahead * behind
+    marginal = both / (1 + both)
+    inner = np.flatnonzero(~new)
+    r, x = ahead[inner - 1], e[inner] * behind[inner]
+    w = np.stack([np.full(len(inner), a[0, 0]), a[0, 1] * x, a[1, 0] * r, a[1, 1] * r * x])
+    w *= (1.0 if weight is None else weight[inner]) / w.sum(0)
+    return marginal, w.sum(1).reshape(2, 2)
+
+
+def sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and lengths of all chains: words of a text between sentence ends."""
     n = len(starts)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -125,14 +160,11 @@ def sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     new[1:] = upto[starts[1:]] > upto[ends[:-1]]
     new[first[:-1][first[:-1] < n]] = True
     begin = np.flatnonzero(new)
-    length = np.diff(np.append(begin, n))
-    pieces = -(-length // longest)
-    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    return np.repeat(begin, pieces) + nth * longest, np.minimum(longest, np.repeat(length, pieces) - nth * longest)
+    return begin, np.diff(np.append(begin, n))
 
 
 def marginals(model: Chain, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Toxic marginal of every word, and whether a feature of its chain is known."""
+    """Toxic marginal of every word whose chain has a known feature (0 elsewhere), and whether it has."""
     n = len(starts)
     out, known_word = np.zeros(n), np.zeros(n, bool)
     if not n:
@@ -140,26 +172,11 @@ def marginals(model: Chain, data: np.ndarray, starts: np.ndarray, ends: np.ndarr
     coded = slices(data, starts, ends).dictionary_encode()
     which = coded.indices.to_numpy()
     weight, known = model.emissions(coded.dictionary)
-    emit, known = weight[which] + model.bias, known[which]
     begin, length = sentences(data, starts, ends, first)
-    chain = np.repeat(np.arange(len(begin)), length)
-    hit = np.bincount(chain[known], minlength=len(begin)) > 0
-    known_word = hit[chain]
-    # chains without a known feature: one computation for each length
-    lengths = np.unique(length)
-    plain, _, _ = forward_backward(np.full((len(lengths), int(lengths.max())), model.bias), lengths, model.start, model.move)
-    place = np.arange(n) - begin[chain]
-    out = plain[np.searchsorted(lengths, length[chain]), place, 1]
-    order = np.flatnonzero(hit)
-    order = order[np.argsort(length[order], kind="stable")]
-    for a in range(0, len(order), 512):
-        own = order[a : a + 512]
-        steps = int(length[own].max())
-        cell = begin[own][:, None] + np.arange(steps)
-        inside = np.arange(steps) < length[own][:, None]
-        cell = np.minimum(cell, n - 1)
-        m, _, _ = forward_backward(np.where(inside, emit[cell], 0.0), length[own], model.start, model.move)
-        out[cell[inside]] = m[:, :, 1][inside]
+    known_word = np.repeat(np.bitwise_or.reduceat(known[which], begin), length)
+    new = np.zeros(n, bool)
+    new[begin] = True
+    out[known_word], _ = forward_backward(weight[which[known_word]] + model.bias, new[known_word], model.start, model.move)
     return out, known_word
 
 
@@ -201,66 +218,70 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from t.combine_chunks().to_batches()
 
 
-def _windows(model: Chain):
-    """(part index by kind for each token, label) of one window of every document, around its first toxic token if it has any."""
+SENTENCES = "n long, times long, token array<long>, feature array<long>, toxic array<long>"
+
+
+def _sentences(model: Chain):
+    """Sentences with known features: places and numbers of the features, and places of toxic tokens. Of the others how often each length occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.cumsum([0, *map(len, model.parts)])
         for batch, data, at in chunks(batches):
             low, starts, ends, first = words(data, at)
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            token, feature, label, length = [], [], [], []
+            if not len(starts):
+                continue
+            toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False) == 1, np.diff(first))
             coded = slices(low, starts, ends).dictionary_encode()
-            which = coded.indices.to_numpy() if len(starts) else np.zeros(0, np.int64)
+            which = coded.indices.to_numpy()
             parts = [pc.fill_null(pc.index_in(p, value_set=v), -1).to_numpy(zero_copy_only=False) if len(v) else np.full(len(p), -1) for p, v in zip(word_parts(coded.dictionary), model.parts, strict=True)]
-            base = np.cumsum([0, *map(len, model.parts)])
             odds = np.full(len(coded.dictionary), -np.inf)
             for p, w in zip(parts, model.weight, strict=True):
                 odds[p >= 0] = np.maximum(odds[p >= 0], w[p[p >= 0]])
-            for i in range(batch.num_rows):
-                a, b = first[i], first[i + 1]
-                bad = (odds[which[a:b]] >= TOKEN_ODDS) & (toxic[i] == 1)
-                hits = np.flatnonzero(odds[which[a:b]] >= TOKEN_ODDS)
-                middle = int(hits[0]) if len(hits) else int((b - a) // 2)
-                lo = max(a, a + middle - WINDOW // 2)
-                hi = min(b, lo + WINDOW)
-                t, f = [], []
-                for k, p in enumerate(parts):
-                    x = p[which[lo:hi]]
-                    own = np.flatnonzero(x >= 0)
-                    t.append(own)
-                    f.append(x[own] + base[k])
-                token.append(np.concatenate(t))
-                feature.append(np.concatenate(f))
-                label.append(bad[lo - a : hi - a].astype(np.int64))
-                length.append(hi - lo)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(length, pa.int64()), *(pa.array([x.astype(np.int64) for x in c], longs) for c in (token, feature, label))], ["doc_id", "n", "token", "feature", "label"])
+            begin, length = sentences(low, starts, ends, first)
+            chain = np.repeat(np.arange(len(begin)), length)
+            bad = np.flatnonzero((odds[which] >= TOKEN_ODDS) & toxic)
+            token, feature = [], []
+            for k, p in enumerate(parts):
+                x = p[which]
+                own = np.flatnonzero(x >= 0)
+                token.append(own)
+                feature.append(x[own] + base[k])
+            token, feature = np.concatenate(token), np.concatenate(feature).astype(np.int64)
+            order = np.argsort(token, kind="stable")
+            token, feature = token[order], feature[order]
+            own = np.unique(chain[token])
+            lists = lambda c, values: pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(chain[c], own), len(c)), pa.int32()), pa.array(values, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(length[own]), pa.array(np.ones(len(own), np.int64)), lists(token, token - begin[chain[token]]), lists(token, feature), lists(bad, bad - begin[chain[bad]])], ["n", "times", "token", "feature", "toxic"])
+            n, times = np.unique(np.delete(length, own), return_counts=True)
+            none = pa.array([[]] * len(n), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(times), none, none, none], ["n", "times", "token", "feature", "toxic"])
 
     return run
 
 
-def train_chain(model: Chain, n: np.ndarray, token: list, feature: list, label: list) -> None:
+def train_chain(model: Chain, n: np.ndarray, times: np.ndarray, token: pa.ListArray, feature: pa.ListArray, toxic: pa.ListArray) -> None:
     """Adam on the chains' mean log-likelihood; sets the model's weights."""
     sizes = [len(p) for p in model.parts]
-    rows, steps = len(n), max(1, int(n.max()))
-    chain = np.concatenate([np.full(len(t), i) for i, t in enumerate(token)])
-    cell = (chain * steps + np.concatenate(token)).astype(np.int64)
-    which = np.concatenate(feature).astype(np.int64)
-    y = np.zeros((rows, steps), np.int64)
-    for i, x in enumerate(label):
-        y[i, : len(x)] = x
-    inside = np.arange(steps) < n[:, None]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:, :-1][inside[:, 1:]], y[:, 1:][inside[:, 1:]]), 1)
-    begun = np.bincount(y[:, 0], minlength=2)
+    begin = np.cumsum(n) - n
+    of = lambda lists: np.repeat(begin, np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()
+    cell, which = of(token), feature.flatten().to_numpy()
+    y = np.zeros(int(n.sum()), np.int64)
+    y[of(toxic)] = 1
+    new = np.zeros(len(y), bool)
+    new[begin] = True
+    weight = np.repeat(times, n).astype(np.float64)
+    rows, inner = int(times.sum()), np.flatnonzero(~new)
+    seen = np.bincount(2 * y[inner - 1] + y[inner], weights=weight[inner], minlength=4).reshape(2, 2)
+    begun = np.bincount(y[begin], weights=times, minlength=2)
     theta = np.concatenate([np.zeros(sum(sizes)), [-2.0], np.zeros(2), np.zeros(4)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     k = sum(sizes)
     for step in range(1, EPOCHS + 1):
-        emit = np.bincount(cell, weights=theta[which], minlength=rows * steps).reshape(rows, steps) + theta[k]
-        marginal, moves, _ = forward_backward(np.where(inside, emit, 0.0), n, theta[k + 1 : k + 3], theta[k + 3 :].reshape(2, 2))
-        miss = np.where(inside, y - marginal[:, :, 1], 0.0)
-        g = np.concatenate([np.bincount(which, weights=miss.reshape(-1)[cell], minlength=k), [miss.sum()], begun - marginal[:, 0].sum(0), (seen - moves.sum(0)).reshape(-1)])
+        emit = np.bincount(cell, weights=theta[which], minlength=len(y)) + theta[k]
+        marginal, moves = forward_backward(emit, new, theta[k + 1 : k + 3], theta[k + 3 :].reshape(2, 2), weight)
+        miss = weight * (y - marginal)
+        starts = float((times * marginal[begin]).sum())
+        g = np.concatenate([np.bincount(which, weights=miss[cell], minlength=k), [miss.sum()], begun - [rows - starts, starts], (seen - moves).reshape(-1)])
         g = g / rows - DECAY * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + STEP * (1 - step / (EPOCHS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -290,36 +311,54 @@ def _summaries(model: Chain):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Learns from at most ``train_rows`` toxic and as many clean documents, those whose ids have the smallest hashes."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, train_rows: int, train_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, toxic: of each class the labelled documents with the smallest hashes, as many as the bounds allow; rows alike in id and text once."""
+    spark = docs.sparkSession
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    pick = lambda c: usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = pick(1).union(pick(0))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(narrow.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "toxic-train")  # at most 2 * train_rows ids are broadcast
+    ids = usable.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).union(usable.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id")  # at most 2 * train_rows ids are broadcast
+    known = narrow.select("doc_id", "toxic", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")).distinct()
+    order = [F.xxhash64("doc_id"), "doc_id", "h"]
+    told = known.where("toxic = 1").orderBy(*order).limit(train_rows).collect() + known.where("toxic = 0").orderBy(*order).limit(train_rows).collect()  # numbers, not texts
+    chosen, used = [], {0: 0, 1: 0}
+    for r in told:
+        used[r["toxic"]] += r["bytes"]
+        if used[r["toxic"]] <= max(train_bytes, r["bytes"]):
+            chosen.append((r["doc_id"], r["h"]))
+    picked = spark.createDataFrame(chosen, "doc_id long, h long")
+    return narrow.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", train_bytes: int = TRAIN_BYTES) -> Chain:
+    """Learns from the rows of ``training_rows``."""
+    rows = materialize(training_rows(docs, labels, label, train_rows, train_bytes, id_col, text_col), "toxic-train")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     model = Chain([pa.array([], pa.large_binary())] * len(KINDS), [np.zeros(0)] * len(KINDS))
     if len(n) < 2:
         return model
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
     counted = rows.mapInArrow(_count, "kind int, part binary, toxic long, clean long").groupBy("kind", "part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    lexicon = counted.where(F.col("toxic") >= LEAST_COUNT).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "kind", "part").limit(LEXICON).select("kind", "part", "odds").toArrow()
+    # every feature that occurs often enough in the sample; their number is bounded by its bytes
+    lexicon = counted.where(F.col("toxic") >= LEAST_COUNT).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy("kind", "part").select("kind", "part", "odds").toArrow()
     kind, value = lexicon.column("kind").to_numpy(), lexicon.column("odds").to_numpy()
     for k in range(len(KINDS)):
         own = np.flatnonzero(kind == k)
         model.parts[k], model.weight[k] = lexicon.column("part").combine_chunks().take(pa.array(own)).cast(pa.large_binary()), value[own]
-    told = rows.mapInArrow(_windows(model), "doc_id long, n long, token array<long>, feature array<long>, label array<long>").where("n > 0").orderBy("doc_id", "n").limit(4 * train_rows).toPandas()
-    if not len(told):
+    parts = rows.mapInArrow(_sentences(model), SENTENCES)
+    plain = parts.where(F.size("token") == 0).groupBy("n").agg(F.sum("times").alias("times")).select("n", "times", *(F.array().cast("array<long>").alias(c) for c in ("token", "feature", "toxic")))
+    told = parts.where(F.size("token") > 0).union(plain).orderBy("n", "token", "feature", "toxic").toArrow().combine_chunks()
+    if not told.num_rows:
         return model
-    train_chain(model, told["n"].to_numpy(), *(list(told[c]) for c in ("token", "feature", "label")))
-    known = rows.mapInArrow(_summaries(model), "doc_id long, a double, b double, toxic int").orderBy("doc_id", "a", "b").limit(4 * train_rows).toPandas()
+    column = lambda c: told.column(c).chunk(0)
+    train_chain(model, column("n").to_numpy(), column("times").to_numpy(), column("token"), column("feature"), column("toxic"))
+    known = rows.mapInArrow(_summaries(model), "doc_id long, a double, b double, toxic int").orderBy("doc_id", "a", "b").toPandas()
     model.document = logistic(known[["a", "b"]].to_numpy(), known["toxic"].to_numpy().astype(float))
     return model
 
 
 def score(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``SCORES``: the score of each text, and byte offsets of its toxic spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON features
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # features of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in chunks(batches):
