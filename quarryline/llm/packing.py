@@ -1,23 +1,30 @@
 """Harmonic packing of documents into fixed-length token sequences.
 
-Lengths fall into reciprocal-capacity classes: class k holds pieces of length
-``capacity // k``, and each of its sequences is filled with exactly k pieces.
-A document is cut into pieces of class lengths (longest first), so a full
-sequence lacks fewer than k tokens.  Every worker fills the sequences of its
-own partition and needs nothing from the others: there is no shuffle, and
-what is still open at the end of a partition (fewer than k pieces in each
-class) is cut once more to fill whole sequences and, for the last few tokens,
-sequences whose length is a power of two.
+Lengths fall into reciprocal-capacity classes: class k holds lengths above
+``capacity // (k + 1)`` up to ``capacity // k``, and each of its sequences is
+filled with exactly k documents.  Of a document longer than the capacity whole
+sequences are cut off first, and what is left is classed.  A sequence of k
+documents has room left; rooms are filled by later documents, cut only where
+no room holds them whole, as soon as all rooms together hold such a document.
+Every worker fills the sequences of its own partition and needs nothing from
+the others: there is no shuffle, and what is still open at the end of a
+partition (fewer than k documents in each class) fills the rooms, then whole
+sequences and, for the last few tokens, sequences whose length is a power of
+two.  Padding is at most the rooms left by the last sequences of a partition,
+fewer than two capacities of tokens.
 
 Defined results: a null or empty text is one document of the separator id
-alone; documents with a null id are packed and their pieces have a null id; repeated rows are packed as often as they occur; further columns are
-ignored; an empty table gives no rows.  Sequence ids are unique in one run and
-depend on how the input is partitioned.
+alone; very long texts are encoded whole; documents with a null id are packed
+and their pieces have a null id; repeated rows are packed as often as they
+occur; equal lengths are packed in the order of the rows; further columns,
+whatever their names, are ignored; an empty table gives no rows.  Sequence ids
+are unique in one run and depend on how the input is partitioned.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,67 +43,76 @@ IDS_PER_PARTITION = 1 << 40
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def class_lengths(capacity: int) -> np.ndarray:
-    """For each r from 0 to capacity the longest ``capacity // k`` that is at most r."""
-    out = np.zeros(capacity + 1, np.int64)
-    for k in range(1, capacity + 1):
-        out[capacity // k] = capacity // k
-    return np.maximum.accumulate(out)
-
-
 class Packer:
-    """Fills the sequences of one partition; rows of ``SCHEMA`` (and ids) leave as soon as a sequence is full."""
+    """Fills the sequences of one partition; rows of ``SCHEMA`` (and ids) leave as soon as their place is known."""
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id = capacity, first_id
-        self.longest = class_lengths(capacity)
+        #: Documents of sequences that are not full, by class.
         self.open: dict[int, list[tuple]] = {}
-
-    def _cut(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Numbers of documents, starts and lengths of one round of pieces after another."""
-        who, start, rest = np.arange(len(tokens)), np.zeros(len(tokens), np.int64), tokens.copy()
-        full = rest // self.capacity
-        if full.any():
-            of = np.repeat(who, full)
-            nth = np.arange(len(of)) - np.repeat(np.cumsum(full) - full, full)
-            yield of, nth * self.capacity, np.full(len(of), self.capacity, np.int64)
-            start, rest = full * self.capacity, rest % self.capacity
-        while len(left := np.flatnonzero(rest)):
-            who, start, rest = who[left], start[left], rest[left]
-            length = self.longest[rest]
-            yield who, start, length
-            start, rest = start + length, rest - length
+        #: (room, sequence, offset) of sequences with their k documents, ascending.
+        self.rooms: list[tuple[int, int, int]] = []
+        self.room = 0
+
+    def _fill(self, doc: int | None, start: int, ids: np.ndarray, tokens: int, out: list[tuple]) -> int:
+        """Cuts ids into the rooms: into the smallest that holds them, else the largest rooms first. How many found room."""
+        done = 0
+        while done < len(ids) and self.rooms:
+            at = bisect_left(self.rooms, (len(ids) - done,))
+            room, sequence, offset = self.rooms.pop(min(at, len(self.rooms) - 1))
+            take = min(room, len(ids) - done)
+            out.append((doc, start + done, ids[done : done + take], tokens, sequence, offset))
+            if take < room:
+                insort(self.rooms, (room - take, sequence, offset + take))
+            done += take
+        self.room -= done
+        return done
 
     def add(self, doc_ids: list[int | None], ids: np.ndarray, at: np.ndarray) -> list[tuple]:
-        """Takes documents' ids, one after another; (doc_id, start, ids, doc_tokens, sequence_id, offset) of full sequences."""
-        tokens, out = np.diff(at), []
-        rounds = list(self._cut(tokens))
-        if not rounds:
-            return out
-        who, start, length = (np.concatenate(x) for x in zip(*rounds, strict=True))
-        for size in np.unique(length):
-            mine = np.flatnonzero(length == size)
-            k, size = self.capacity // int(size), int(size)
-            new = [(doc_ids[w], int(s), ids[at[w] + s : at[w] + s + size], int(tokens[w])) for w, s in zip(who[mine].tolist(), start[mine].tolist(), strict=True)]
-            pieces = self.open.pop(size, []) + new
-            whole = len(pieces) // k * k
-            for i, piece in enumerate(pieces[:whole]):
-                out.append((*piece, self.next_id + i // k, i % k * size))
-            self.next_id += whole // k
-            if pieces[whole:]:
-                self.open[size] = [(d, s, x.copy(), n) for d, s, x, n in pieces[whole:]]
+        """Takes documents' ids, one after another; (doc_id, start, ids, doc_tokens, sequence_id, offset) of pieces that are placed."""
+        out: list[tuple] = []
+        c = self.capacity
+        for doc, a, b in zip(doc_ids, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            n = b - a
+            for start in range(0, n - c + 1, c):
+                out.append((doc, start, ids[a + start : a + start + c], n, self.next_id, 0))
+                self.next_id += 1
+            rest = n % c
+            if not rest:
+                continue
+            piece = ids[b - rest : b]
+            if rest <= self.room:
+                self._fill(doc, n - rest, piece, n, out)
+                continue
+            k = c // rest
+            group = self.open.setdefault(k, [])
+            group.append((doc, n - rest, piece, n))
+            if len(group) == k:
+                offset = 0
+                for d, s, x, m in self.open.pop(k):
+                    out.append((d, s, x, m, self.next_id, offset))
+                    offset += len(x)
+                if offset < c:
+                    insort(self.rooms, (c - offset, self.next_id, offset))
+                    self.room += c - offset
+                self.next_id += 1
+        # what waits must not hold the whole chunk
+        self.open = {k: [(d, s, x.copy(), m) for d, s, x, m in group] for k, group in self.open.items()}
         return out
 
     def finish(self) -> list[tuple]:
-        """Cuts what is open into whole sequences and sequences of a power of two."""
-        pieces = [p for size in sorted(self.open, reverse=True) for p in self.open[size]]
+        """Cuts what is open into the rooms, whole sequences, and sequences of a power of two."""
+        pieces, out, left = [p for k in sorted(self.open) for p in self.open[k]], [], []
         self.open = {}
-        left = sum(len(p[2]) for p in pieces)
-        sizes = [self.capacity] * (left // self.capacity) + [1 << b for b in range(self.capacity.bit_length(), -1, -1) if left % self.capacity >> b & 1]
-        out, used = [], 0
-        room = iter(sizes)
+        for doc, start, ids, n in reversed(pieces):
+            done = self._fill(doc, start, ids, n, out)
+            if done < len(ids):
+                left.append((doc, start + done, ids[done:], n))
+        total = sum(len(p[2]) for p in left)
+        sizes = [self.capacity] * (total // self.capacity) + [1 << b for b in range(self.capacity.bit_length(), -1, -1) if total % self.capacity >> b & 1]
+        used, room = 0, iter(sizes)
         size = next(room, 0)
-        for doc, start, ids, n in pieces:
+        for doc, start, ids, n in left:
             done = 0
             while done < len(ids):
                 if used == size:
@@ -105,7 +121,7 @@ class Packer:
                 take = min(size - used, len(ids) - done)
                 out.append((doc, start + done, ids[done : done + take], n, self.next_id, used))
                 used, done = used + take, done + take
-        self.next_id += bool(pieces)
+        self.next_id += bool(left)
         return out
 
 

@@ -55,5 +55,45 @@ def test_null_and_large_ids(spark):
     assert len(per_document) == 3 and all(n == tokens for (_, tokens), n in per_document.items())
 
 
+def test_classes_fill_with_their_number_of_documents():
+    """Sequences of class k hold k documents from its lengths before anything fills their room; padding is bounded and few documents are cut."""
+    rng = np.random.default_rng(0)
+    lengths = np.concatenate([rng.integers(1, 1400, 3000), rng.geometric(0.004, 3000), [1024, 2048, 1, 1025]])
+    rng.shuffle(lengths)
+    packer, rows = packing.Packer(1024, 0), []
+    for part in np.array_split(lengths, 7):
+        at = np.concatenate([[0], np.cumsum(part)])
+        rows += packer.add(list(range(len(rows), len(rows) + len(part))), np.arange(at[-1]), at)
+    full = len(rows)
+    rows += packer.finish()
+    sequences = {}
+    for i, (doc, start, ids, n, sequence, offset) in enumerate(rows):
+        sequences.setdefault(sequence, []).append((offset, len(ids), i, start, n))
+    padding = 0
+    for own in sequences.values():
+        own.sort()
+        assert [o for o, *_ in own] == np.concatenate([[0], np.cumsum([x[1] for x in own])])[:-1].tolist()
+        used = sum(x[1] for x in own)
+        padding += 1024 - used if used & (used - 1) else 0
+        first = own[0]
+        if first[2] < full and first[1] < 1024:
+            k = 1024 // first[1]
+            assert all(1024 // (k + 1) < x[1] <= 1024 // k and x[3] + x[1] == x[4] for x in own[:k])
+    assert sum(len(r[2]) for r in rows) == lengths.sum() and padding < 2048
+    needed = (-(-lengths // 1024)).sum()
+    assert len(rows) < 1.5 * needed
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null and very long texts, repeated rows, columns with the names of the result."""
+    names = [x.split(" ")[0] for x in packing.SCHEMA.split(", ") if not x.startswith("doc_id")]
+    texts = [None, "", "word " * 300_000, "same", "same"]
+    df = spark.createDataFrame([(i, t, *names) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    rows = packing.pack(df, packing.read_vocabulary()).collect()
+    total = {i: sum(r["length"] for r in rows if r["doc_id"] == i) for i in range(5)}
+    assert total[0] == total[1] == 1 and total[2] > 300_000 and total[3] == total[4] == 2
+    assert all(r["doc_tokens"] == total[r["doc_id"]] for r in rows)
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), packing.read_vocabulary()).count() == 0
