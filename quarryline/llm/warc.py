@@ -6,18 +6,23 @@ ends a record.  Pages with equal payloads are written once; the others become
 ``revisit`` records that name the page they repeat.
 
 The reader must not take the magic ``WARC/1.`` inside a payload for a record.
-Tasks scan files in ranges and emit every candidate with the offset of its
-successor (offset + header + Content-Length + 4).  Within a range pointers are
-jumped locally, so that each candidate points beyond its range; the remaining
-pointers, one hop per range, are jumped in log2(ranges) joins from the start of
-each file.  Only records on that chain remain.
+A task unpacks a file and emits every candidate with the offset of its
+successor (offset + header + Content-Length + 4), range by range.  Within a
+range pointers are jumped locally, so that each candidate points beyond its
+range; the remaining pointers, one hop per range, are jumped in log2(ranges)
+joins from the start of each file.  Only records on that chain remain, and only
+payloads that a walk from the file's start meets are hashed, so records inside
+payloads cost no more than their headers.  A file must fit into a worker's
+memory (``binaryFile`` refuses 2 GB); the writer's files follow the partitions
+of its shuffle, about ``PARTITION_BYTES`` of payload each.
 
 Defined results: null html is an empty payload; a null url is written as
 ``urn:unknown``; pages with a null id are responses; a repeated row is written
-again (of equal payloads, every row with the largest id is a response); urls
-and headers may have any length; in a damaged file the records before the
-damage remain, or with ``strict`` an error is raised; further columns of
-``pages`` are ignored; an empty table gives no rows.
+again (of equal payloads, every row with the largest id is a response); ties
+of payloads go to the largest id; urls, headers and payloads may have any
+length; in a damaged file the records before the damage remain, or with
+``strict`` an error is raised; further columns of ``pages``, whatever their
+names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ END = "\r\n\r\n"
 RANGE_BYTES = 4 << 20
 #: Records of a file at most, so that files stay of moderate size.
 RECORDS_PER_FILE = 5_000
+#: Bytes of payload in a partition of the writer's shuffle, about.
+PARTITION_BYTES = 64 << 20
 #: Equal payloads are spread over so many keys in the join that marks revisits.
 SALTS = 16
 
@@ -66,7 +73,11 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
     repeated = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     salted = repeated.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "bytes", "salt"], "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    n = -(-(pages.agg(F.sum(F.octet_length(html_col)).alias("n")).first()["n"] or 0) // PARTITION_BYTES)
+    if n > int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(n, "digest", "bytes", "salt")
+    rows = rows.join(salted, ["digest", "bytes", "salt"], "left")
     revisit = F.col("first_id").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first_id"))
     body = F.when(revisit, F.lit("HTTP/1.1 200 OK" + END)).otherwise(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END), F.col("html")))
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("urn:unknown")), r"[\x00-\x20\x7F]", "%20")
@@ -101,10 +112,11 @@ def _fields(block: bytes) -> dict[bytes, tuple[bytes, int]]:
 
 
 def scan(data: bytes, range_bytes: int = RANGE_BYTES) -> dict[str, list]:
-    """All candidates of a file: every place with the magic and a header that tells a length."""
+    """All candidates of a file: every place with the magic and a header that tells a length. Payloads are hashed where a walk from the start passes."""
     out: dict[str, list] = {k: [] for k in ("range", "off", "next", "exit", "record_type", "record_id", "refers_to", "payload_bytes", "payload_digest")}
     at = data.find(MAGIC)
     first = stop = -1
+    due = 0  # where the next record of the walk begins
     told_fields: dict[bytes, tuple[bytes, int]] = {}
     while at >= 0:
         if at > stop:
@@ -120,11 +132,14 @@ def scan(data: bytes, range_bytes: int = RANGE_BYTES) -> dict[str, list]:
                 head = data.find(b"\r\n\r\n", begin, end)
                 kind = fields.get(b"warc-type", b"").decode("latin-1")
                 told = fields.get(b"x-payload-length", b"")
-                if kind == "revisit" and told.isdigit():
+                if at != due:
+                    size, digest = None, None
+                elif kind == "revisit" and told.isdigit():
                     size, digest = int(told), fields.get(b"warc-payload-digest", b"").partition(b":")[2].decode("latin-1")
                 else:
                     payload = memoryview(data)[head + 4 if head >= 0 else begin : end]
                     size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                due = end + 4 if at == due else due
                 for k, v in (("range", at // range_bytes), ("off", at), ("next", end + 4), ("record_type", kind), ("record_id", fields.get(b"warc-record-id", b"").decode("latin-1")), ("refers_to", fields[b"warc-refers-to"].decode("latin-1") if b"warc-refers-to" in fields else None), ("payload_bytes", size), ("payload_digest", digest)):
                     out[k].append(v)
         at = data.find(MAGIC, at + 1)

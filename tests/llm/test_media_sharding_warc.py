@@ -161,6 +161,25 @@ def test_warc_candidates_and_damage():
     assert warc.scan(b"")["off"] == []
 
 
+def test_only_records_are_hashed(monkeypatch):
+    """A payload full of records, whose lengths reach far beyond them, is hashed once."""
+    nested = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 400000\r\n\r\n" * 10_000
+    whole = b"".join(f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(nested) + 19}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n{nested}\r\n\r\n".encode() for _ in range(2))
+    hashed = []
+    real = hashlib.sha1
+    monkeypatch.setattr(warc.hashlib, "sha1", lambda x: hashed.append(len(x)) or real(x))
+    found = warc.scan(whole)
+    assert hashed == [len(nested)] * 2 and len(found["off"]) > 10_000
+
+
+def test_warc_null_ids_and_names(spark, tmp_path):
+    names = ["digest", "bytes", "salt", "first_id", "body", "n", "value"]
+    df = spark.createDataFrame([(i, u, h, *names) for i, u, h in [(None, None, "same"), (None, "u", "same"), (4, "u", "same"), (3, "u", "same"), (7, "u", "x" * 3_000_000)]], "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names))
+    warc.write_pages(df, str(tmp_path / "out"))
+    rows = sorted((r["record_id"], r["record_type"], r["payload_bytes"], r["refers_to"]) for r in warc.read_records(spark, str(tmp_path / "out"), strict=True).collect())
+    assert rows == [("<urn:page:3>", "revisit", 4, "<urn:page:4>"), ("<urn:page:4>", "response", 4, None), ("<urn:page:7>", "response", 3_000_000, None), ("<urn:page:>", "response", 4, None), ("<urn:page:>", "response", 4, None)]
+
+
 @pytest.mark.parametrize("range_bytes", [30_000, warc.RANGE_BYTES])
 def test_warc_long_url(spark, tmp_path, range_bytes):
     pages = [(i, "data:" + "WARC/1.1" * 12_500 if i in (0, 3) else f"u{i}", f"html {i}") for i in range(7)]
