@@ -1,19 +1,25 @@
 """Audio features of binary media columns.
 
 ``store_wav`` puts bytes into an 8-bit PCM WAV file (one byte, one sample) and
-``read_wav`` takes them out again.  ``audio_features`` decodes each file,
-resamples it with a polyphase filter, computes overlapped log-mel filterbanks
-and an energy segmentation with hysteresis, and returns one row per file:
-tensors of a fixed shape (``N_SLOTS`` x ``N_MELS`` float32, the mean log-mel
-energies of equal slots of time) and the time spans of the active segments.
+``read_wav`` takes them out again; ``store_media`` writes such files to a table.
+``audio_features`` decodes each file, resamples it with a polyphase filter (3/4
+of the rate, three branches), computes overlapped log-mel filterbanks and an
+energy segmentation with hysteresis, and gives one row per file: a tensor of a
+fixed shape (``N_SLOTS`` x ``N_MELS`` float32, the mean log-mel energies of equal
+slots of time) and the time spans of the active segments.  ``write_tensors``
+stores them as Arrow streams whose tensor column has Arrow's fixed-shape type;
+``read_tensors`` and ``tensor_batch`` read them back.
 
 Everything about a file is computed from its own samples with element-wise
-operations in blocks of a fixed size, so equal files have equal features
-whatever they are batched with, and memory does not follow a file's length.
-
-Defined results: null bytes count as empty; a file without samples has a
-tensor of the floor value and no spans; repeated rows repeat; further columns
-are ignored.
+operations in blocks of a fixed number of frames, so equal files have equal
+features whatever they are batched with.  Besides the file itself memory holds
+one number for each frame (about a fortieth of the file).
+
+Defined results: null and empty payloads are stored as one unit of zero bytes;
+a file without samples has a tensor of the floor value and no spans; very long
+files are read whole; rows with a null id, and repeated rows, are stored like
+any other; equal energies are on the side of the threshold they reach; an empty
+table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +32,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, new_path
 from .common import chunks, table
 
 #: Bytes are padded with zeros to a positive multiple of this.
 UNIT = 64
-RATE_IN, RATE_OUT = 16_000, 8_000
+RATE_IN, RATE_OUT = 16_000, 12_000
 #: Taps of the anti-aliasing filter for each polyphase branch.
 TAPS = 8
 FRAME, HOP, N_FFT, N_MELS, N_SLOTS = 256, 128, 256, 24, 8
@@ -42,8 +50,9 @@ FRAMES_AT_ONCE = 1024
 HIGH, LOW, MIN_FRAMES = 1.15, 0.95, 3
 FLOOR = 1e-6
 
+MEDIA = "doc_id long, n_bytes long, media binary"
 RESULT = "doc_id long, n_bytes long, media binary, tensor array<float>, seg_start_ms array<long>, seg_end_ms array<long>, n_frames long"
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor array<float>, seg_start_ms array<long>, seg_end_ms array<long>"
 
 
 def pad(payload: bytes, unit: int = UNIT) -> bytes:
@@ -85,25 +94,37 @@ def branches(up: int, down: int, taps: int = TAPS) -> np.ndarray:
     return h.reshape(width, up).T.astype(np.float32)
 
 
-def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Rational resampling: output n comes from branch n * down % up around input n * down // up."""
-    if not len(x) or up == down:
-        return x
+def _samples(x: np.ndarray) -> np.ndarray:
+    """Unsigned 8-bit samples as floats; floats as they are."""
+    return (x.astype(np.float32) - 128) / 128 if x.dtype == np.uint8 else x.astype(np.float32)
+
+
+def resampled_length(n: int, up: int, down: int) -> int:
+    return -(-n * up // down)
+
+
+def resample(x: np.ndarray, up: int, down: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Rational resampling, outputs ``first`` to ``last``: output n comes from branch n * down % up around input n * down // up. Beyond its ends the input is silent."""
+    last = resampled_length(len(x), up, down) if last is None else last
+    if up == down:
+        return _samples(x[first:last])
+    if last <= first:
+        return np.zeros(0, np.float32)
     h = branches(up, down)
     width = h.shape[1]
-    count = -(-len(x) * up // down)
-    padded = np.concatenate([np.zeros(width, np.float32), x, np.zeros(width + 1, np.float32)])
-    out = np.zeros(count, np.float32)
-    for first in range(up):
-        n = np.arange(first, count, up, dtype=np.int64)
-        if not len(n):
-            continue
-        branch, begin, step = (first * down) % up, first * down // up, down
-        acc = np.zeros(len(n), np.float32)
+    left, right = first * down // up + width // 2 - width + 1, (last - 1) * down // up + width // 2 + 1
+    part = np.zeros(right - left, np.float32)
+    a, b = max(left, 0), min(right, len(x))
+    if b > a:
+        part[a - left : b - left] = _samples(x[a:b])
+    out = np.empty(last - first, np.float32)
+    for r in range(min(up, last - first)):
+        n, count = first + r, len(range(r, last - first, up))
+        branch, at = n * down % up, n * down // up + width // 2 - left
+        acc = np.zeros(count, np.float32)
         for k in range(width):
-            lo = begin + width // 2 + width - k
-            acc += h[branch, k] * padded[lo : lo + step * (len(n) - 1) + 1 : step]
-        out[first::up] = acc
+            acc += h[branch, k] * part[at - k : at - k + down * (count - 1) + 1 : down]
+        out[r::up] = acc
     return out
 
 
@@ -128,20 +149,23 @@ def mel_bands(rate: int = RATE_OUT) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
-def log_mel(x: np.ndarray, rate: int = RATE_OUT) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel energies (frames x ``N_MELS``) and energies of overlapped frames; the last frame is filled up with zeros."""
+def log_mel(x: np.ndarray, up: int = 1, down: int = 1, rate: int = RATE_OUT) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First frame, log-mel energies (frames x ``N_MELS``) and energies of overlapped frames of the resampled signal, some frames at once; the last frame is filled up with zeros."""
     bins, weights, begin = mel_bands(rate)
-    frames = max(1, -(-max(0, len(x) - FRAME) // HOP) + 1)
-    x = np.concatenate([x, np.zeros((frames - 1) * HOP + FRAME - len(x), np.float32)])
-    every = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    mels, energy = np.empty((frames, N_MELS), np.float32), np.empty(frames, np.float32)
+    n = resampled_length(len(x), up, down)
+    frames = frame_count(n)
     for a in range(0, frames, FRAMES_AT_ONCE):
-        part = every[a : a + FRAMES_AT_ONCE] * _WINDOW
-        spectrum = np.fft.rfft(part, N_FFT, axis=1)
+        b = min(frames, a + FRAMES_AT_ONCE)
+        signal = resample(x, up, down, a * HOP, min(n, (b - 1) * HOP + FRAME))
+        signal = np.concatenate([signal, np.zeros((b - 1 - a) * HOP + FRAME - len(signal), np.float32)])
+        spectrum = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP] * _WINDOW, N_FFT, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        mels[a : a + len(part)] = np.log(np.add.reduceat(power[:, bins] * weights, begin, axis=1) + FLOOR)
-        energy[a : a + len(part)] = np.add.reduceat(power, [0], axis=1)[:, 0]
-    return mels, energy
+        yield a, np.log(np.add.reduceat(power[:, bins] * weights, begin, axis=1) + FLOOR), np.add.reduceat(power, [0], axis=1)[:, 0]
+
+
+def frame_count(n: int) -> int:
+    """Overlapped frames of n samples, one at least."""
+    return max(1, -(-max(0, n - FRAME) // HOP) + 1)
 
 
 def segments(energy: np.ndarray, high: float = HIGH, low: float = LOW, least: int = MIN_FRAMES) -> tuple[np.ndarray, np.ndarray]:
@@ -158,23 +182,29 @@ def segments(energy: np.ndarray, high: float = HIGH, low: float = LOW, least: in
     return a[keep], b[keep]
 
 
-def slots(mels: np.ndarray) -> np.ndarray:
-    """Means of ``N_SLOTS`` equal parts of the time, with repeated frames where there are fewer."""
-    at = np.arange(N_SLOTS + 1) * len(mels) // N_SLOTS
-    total = np.concatenate([np.zeros((1, N_MELS)), np.cumsum(mels, axis=0, dtype=np.float64)])
-    lo, hi = at[:-1], np.maximum(at[1:], at[:-1] + 1)
-    return ((total[hi] - total[lo]) / (hi - lo)[:, None]).astype(np.float32)
+def slot_edges(frames: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-end frames of ``N_SLOTS`` equal parts of the time, with repeated frames where there are fewer."""
+    at = np.arange(N_SLOTS + 1) * frames // N_SLOTS
+    return at[:-1], np.maximum(at[1:], at[:-1] + 1)
 
 
 def features(samples: bytes, rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Tensor (``N_SLOTS`` x ``N_MELS``), segment starts and ends in milliseconds, and the number of frames."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    x = np.frombuffer(samples, np.uint8)
     if not len(x):
         return np.full((N_SLOTS, N_MELS), np.log(FLOOR), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    g = np.gcd(rate, RATE_OUT)
-    mels, energy = log_mel(resample(x, RATE_OUT // int(g), rate // int(g)))
+    g = int(np.gcd(rate, RATE_OUT))
+    up, down = RATE_OUT // g, rate // g
+    frames = frame_count(resampled_length(len(x), up, down))
+    lo, hi = slot_edges(frames)
+    total, energy = np.zeros((N_SLOTS, N_MELS)), np.empty(frames, np.float32)
+    for first, mels, e in log_mel(x, up, down):
+        energy[first : first + len(e)] = e
+        upto = np.concatenate([np.zeros((1, N_MELS)), np.cumsum(mels, axis=0, dtype=np.float64)])
+        a, b = np.clip(lo - first, 0, len(e)), np.clip(hi - first, 0, len(e))
+        total += upto[b] - upto[a]
     a, b = segments(energy)
-    return slots(mels), a * HOP * 1000 // RATE_OUT, ((b - 1) * HOP + FRAME) * 1000 // RATE_OUT, len(mels)
+    return (total / (hi - lo)[:, None]).astype(np.float32), a * HOP * 1000 // RATE_OUT, ((b - 1) * HOP + FRAME) * 1000 // RATE_OUT, frames
 
 
 def tensor_type() -> pa.DataType:
@@ -187,54 +217,100 @@ def tensor_array(flat: list[np.ndarray]) -> pa.ExtensionArray:
     return pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(values, pa.float32()), N_SLOTS * N_MELS))
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
-    """(n_bytes, media, tensor, starts, ends, frames) of each row's text."""
-    for batch, data, at in chunks(batches):
-        whole, rows = data.tobytes(), []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            media = store_wav(pad(whole[a:b]))
-            samples, rate = read_wav(media)
-            rows.append((b - a, media, *features(samples, rate)))
-        yield batch, rows
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``MEDIA``: each text's bytes, padded, as a WAV file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, at in chunks(batches):
+            whole = data.tobytes()
+            files = [store_wav(pad(whole[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, MEDIA)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[tuple]]]:
+    """Rows of ``MEDIA``, their samples, and (tensor, starts, ends, frames) of each."""
+    for batch, _, _ in chunks(batches, "media"):
+        payloads, rows = [], []
+        for media in batch.column("media"):
+            samples, rate = read_wav(media.as_py())
+            payloads.append(samples)
+            rows.append(features(samples, rate))
+        yield batch, payloads, rows
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.tolist() for x in values], pa.list_(pa.int64()))
+
 
+def audio_features(media: DataFrame) -> DataFrame:
+    """``RESULT`` of the rows of ``MEDIA``: each file's tensor (row by row) and its spans."""
 
-def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``RESULT``: the stored file of each text, its tensor (row by row; see ``tensor_array`` for Arrow's type), and its spans."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, rows in _decoded(batches):
+            tensor, a, b, frames = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, tensor_array(list(tensor)).storage.cast(pa.list_(pa.float32())), _lists(a), _lists(b), pa.array(frames, pa.int64())], [x.split(" ")[0] for x in RESULT.split(", ")])
+
+    return media.mapInArrow(run, RESULT)
+
+
+def write_tensors(media: DataFrame, path: str) -> None:
+    """Features of the rows of ``MEDIA`` as a table of Arrow streams (``arrow binary``), a batch each: doc_id, n_bytes, tensor (fixed shape), spans, frames, and digests of the file and of its samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
-        for batch, rows in _table(batches):
-            n, media, tensor, a, b, frames = zip(*rows, strict=True)
-            storage = tensor_array(list(tensor)).storage
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(media, pa.binary()), storage.cast(pa.list_(pa.float32())), pa.array([x.tolist() for x in a], longs), pa.array([x.tolist() for x in b], longs), pa.array(frames, pa.int64())],
-                ["doc_id", "n_bytes", "media", "tensor", "seg_start_ms", "seg_end_ms", "n_frames"],
-            )
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for batch, payloads, rows in _decoded(batches):
+            tensor, a, b, frames = zip(*rows, strict=True)
+            columns = {
+                "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "payload_bytes": pa.array([len(x) for x in payloads], pa.int64()), "payload_sha256": pa.array([sha(x) for x in payloads]),
+                "tail_crc32": pa.array([zlib.crc32(x[-UNIT:]) for x in payloads], pa.int64()), "media_bytes": pc.binary_length(batch.column("media")).cast(pa.int64()), "media_sha256": pa.array([sha(x.as_py()) for x in batch.column("media")]),
+                "tensor": tensor_array(list(tensor)), "seg_start_ms": _lists(a), "seg_end_ms": _lists(b), "n_frames": pa.array(frames, pa.int64()),
+            }
+            sink = pa.BufferOutputStream()
+            told = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            with pa.ipc.new_stream(sink, told.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(told)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["arrow"])
+
+    media.mapInArrow(run, "arrow binary").write.parquet(path)
+
+
+def tensor_batch(stream: bytes) -> pa.RecordBatch:
+    """A stream that ``write_tensors`` has stored; its column ``tensor`` is of ``tensor_type``."""
+    with pa.ipc.open_stream(stream) as r:
+        return r.read_next_batch()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, RESULT)
 
+def read_tensors(spark: SparkSession, path: str) -> DataFrame:
+    """``DIGEST`` of what ``write_tensors`` has stored."""
 
-def feature_text(tensor: np.ndarray, a: np.ndarray, b: np.ndarray, frames: int) -> str:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split(" ")[0] for x in DIGEST.split(", ")]
+        for batch in batches:
+            for stream in batch.column("arrow"):
+                told = tensor_batch(stream.as_py())
+                tensor = told.column("tensor").to_numpy_ndarray()
+                spans = zip(told.column("seg_start_ms").to_pylist(), told.column("seg_end_ms").to_pylist(), strict=True)
+                text = [feature_text(t, a, b, n) for t, (a, b), n in zip(tensor, spans, told.column("n_frames").to_pylist(), strict=True)]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(tensor) + 1) * N_SLOTS * N_MELS, pa.int32()), pa.array(tensor.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(text) if c == "feature" else flat if c == "tensor" else told.column(c) for c in names], names)
+
+    return spark.read.parquet(path).mapInArrow(run, DIGEST)
+
+
+def feature_text(tensor: np.ndarray, a: list[int], b: list[int], frames: int) -> str:
     """A digest of the features: number of frames and segments, active time, the tensor's values to a tenth."""
     tenths = np.rint(np.float64(tensor) * 10).astype(np.int64).tobytes()
-    return f"frames={frames};segments={len(a)};active_ms={int((b - a).sum())};logmel={hashlib.sha256(tenths).hexdigest()[:16]}"
+    return f"frames={frames};segments={len(a)};active_ms={sum(b) - sum(a)};logmel={hashlib.sha256(tenths).hexdigest()[:16]}"
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``DIGEST``: what ``audio_features`` stores and computes, as digests, computed where the files are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch, rows in _table(batches):
-            out = []
-            for n, media, tensor, a, b, frames in rows:
-                payload = read_wav(media)[0]
-                out.append((n, len(payload), sha(payload), zlib.crc32(payload[-UNIT:]), len(media), sha(media), feature_text(tensor, a, b, frames)))
-            cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [x.split(" ")[0] for x in DIGEST.split(", ")])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DIGEST)
+    """``DIGEST``: files and tensors are written to the shared folder, and read back."""
+    spark = docs.sparkSession
+    path = new_path(spark, "tensors")
+    write_tensors(materialize(store_media(docs, id_col, text_col), "media"), path)
+    return read_tensors(spark, path)
 
 
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,12 +51,91 @@ def test_media_rows(spark):
         assert (rows[i]["n_bytes"], rows[i]["payload_bytes"], rows[i]["payload_sha256"], rows[i]["tail_crc32"]) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert rows[i]["media_sha256"] == hashlib.sha256(media.store_wav(p)).hexdigest()
     assert rows[2]["feature"] == rows[3]["feature"] != rows[4]["feature"]
-    full = {r["doc_id"]: r for r in media.audio_features(df).collect()}
+    full = {r["doc_id"]: r for r in media.audio_features(media.store_media(df)).collect()}
     assert all(len(r["tensor"]) == media.N_SLOTS * media.N_MELS for r in full.values())
+    assert all(full[i]["tensor"] == rows[i]["tensor"] and full[i]["seg_start_ms"] == rows[i]["seg_start_ms"] and full[i]["seg_end_ms"] == rows[i]["seg_end_ms"] for i in full)
     assert media.tensor_array([np.zeros((media.N_SLOTS, media.N_MELS), np.float32)]).type == media.tensor_type()
     assert media.digests(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("up,down", [(3, 4), (1, 2), (2, 3), (3, 2), (320, 441)])
+def test_resampler_is_the_direct_form(up, down):
+    """Zeros between the samples, one long filter, every down-th output; and any range of outputs alone."""
+    x = np.random.default_rng(up).normal(size=700).astype(np.float32)
+    h = media.branches(up, down)
+    assert h.shape[0] == up
+    taps = h.T.reshape(-1).astype(np.float64)  # tap k of branch b stands at k * up + b
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    full = np.convolve(wide, taps)
+    delay = h.shape[1] // 2 * up
+    count = media.resampled_length(len(x), up, down)
+    at = np.arange(count) * down + delay
+    direct = np.where(at < len(full), full[np.minimum(at, len(full) - 1)], 0)
+    got = media.resample(x, up, down)
+    assert got == pytest.approx(direct, abs=1e-4)
+    for a, b in ((0, 1), (5, 6), (17, 333), (count - 3, count)):
+        assert (media.resample(x, up, down, a, b) == got[a:b]).all()
+
+
+@pytest.mark.parametrize("n", [1, 256, 257, 700, 30_000])
+def test_features_are_the_direct_ones(monkeypatch, n):
+    """Resampled at once, each frame by a discrete Fourier transform written out, triangles from their definition, means over slots."""
+    raw = (128 + 60 * np.sin(np.arange(n) / 7) * (np.arange(n) % 9000 < 4000) + np.random.default_rng(n).integers(-9, 9, n)).astype(np.uint8)
+    tensor, a, b, frames = media.features(raw.tobytes(), media.RATE_IN)
+    y = media.resample((raw.astype(np.float32) - 128) / 128, 3, 4).astype(np.float64)
+    y = np.concatenate([y, np.zeros(media.FRAME * 2 + len(y))])
+    assert frames == max(1, -(-max(0, media.resampled_length(n, 3, 4) - 256) // 128) + 1)
+    k, t = np.arange(129)[:, None], np.arange(256)[None, :]
+    transform = np.exp(-2j * np.pi * k * t / 256)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
+    power = np.array([abs(transform @ (y[f * 128 : f * 128 + 256] * hann)) ** 2 for f in range(frames)])
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    points = [700 * (10 ** ((mel(60) + (mel(6000) - mel(60)) * i / 25) / 2595) - 1) for i in range(26)]
+    bank = np.zeros((24, 129))
+    for i, (lo, mid, hi) in enumerate(zip(points, points[1:], points[2:])):
+        for j in range(129):
+            f = j * 12_000 / 256
+            bank[i, j] = max(0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid)))
+        if not bank[i].any():
+            bank[i, np.argmin(abs(np.arange(129) * 12_000 / 256 - mid))] = 1e-3
+        bank[i][bank[i] > 0] = np.maximum(bank[i][bank[i] > 0], 1e-3)
+    logs = np.log(power @ bank.T + media.FLOOR)
+    edge = [i * frames // 8 for i in range(9)]
+    assert tensor == pytest.approx(np.array([logs[p : max(q, p + 1)].mean(0) for p, q in zip(edge, edge[1:])]), abs=2e-2)
+    energy, on, spans = power.sum(1), False, []
+    for f, e in enumerate([*energy, -1.0]):
+        if not on and e >= media.HIGH * energy.mean():
+            on, begin = True, f
+        elif on and e < media.LOW * energy.mean():
+            on = False
+            if f - begin >= media.MIN_FRAMES:
+                spans.append((begin * 128 * 1000 // 12_000, ((f - 1) * 128 + 256) * 1000 // 12_000))
+    assert list(zip(a.tolist(), b.tolist())) == spans and (n < 30_000 or len(spans) == 4)
+    monkeypatch.setattr(media, "FRAMES_AT_ONCE", 7)
+    again = media.features(raw.tobytes(), media.RATE_IN)
+    assert again[0] == pytest.approx(tensor, abs=1e-5) and again[1].tolist() == a.tolist()
+
+
+def test_stored_tensors(spark, tmp_path):
+    """The stored column has Arrow's fixed-shape type and holds the features; null ids, repeated rows, long files and clashing names."""
+    names = ["media", "tensor", "arrow", "n_bytes"]
+    texts = [None, "", "abc" * 500_000, "same", "same"]
+    df = spark.createDataFrame([(None if i == 3 else i, t, *names) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    path = str(tmp_path / "tensors")
+    media.write_tensors(media.store_media(df), path)
+    seen = []
+    for r in spark.read.parquet(path).collect():
+        batch = media.tensor_batch(bytes(r["arrow"]))
+        assert batch.column("tensor").type == media.tensor_type()
+        for i, t, starts in zip(batch.column("doc_id").to_pylist(), batch.column("tensor").to_numpy_ndarray(), batch.column("seg_start_ms").to_pylist()):
+            text = texts[3 if i is None else i]
+            expected = media.features(media.pad((text or "").encode()), media.RATE_IN)
+            assert t.shape == (8, 24) and (t == expected[0]).all() and starts == expected[1].tolist()
+            seen.append(i)
+    assert sorted(seen, key=str) == [0, 1, 2, 4, None] and media.read_tensors(spark, path).count() == 5
+
+
 @pytest.mark.parametrize("n,parts,cell", [(0, 1, 10), (5, 3, 10), (1000, 7, 10), (333, 1, 1000)])
 def test_sharding(spark, n, parts, cell):
     df = spark.createDataFrame([(i // 2, "x") for i in range(n)], "doc_id long, shard string").drop("shard").repartition(parts)
