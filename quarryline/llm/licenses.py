@@ -10,10 +10,12 @@ are counted on their own.
 
 Nothing is shuffled, and no Python code runs on the executors.
 
-Defined results: null and empty texts have no words, no labels and score 0;
-repeated rows are scanned one by one; equal intervals of equal priority are
-resolved by the rules' order; further columns of the input are kept by
-``scan_licenses`` (its own columns replace those of the same name).
+Defined results: null and empty texts have no words, no labels and score 0; very
+long texts are scanned whole; repeated rows, and rows with a null id, are
+scanned one by one; equal intervals of equal priority are resolved by the
+rules' order; an empty table gives no rows; further columns of the input,
+whatever their names, are kept by ``scan_licenses`` (its own result columns
+replace those of the same name).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 from .license_rules import GATES, RULES, Rule
 
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -92,8 +94,9 @@ def surviving(detections: Column) -> Column:
 def scan_licenses(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, base: list[tuple[str, str]] = BASE) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and n_detections."""
     own = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detections"]
-    df = docs.drop(*(c for c in own if c != text_col)).withColumn("__norm", word_text(F.col(text_col)))
-    norm = F.col("__norm")
+    norm_col, parts, last, ruled, based = fresh([*docs.columns, *own], "norm", "parts", "last", "rules", "base")
+    df = docs.drop(*(c for c in own if c != text_col)).withColumn(norm_col, word_text(F.col(text_col)))
+    norm = F.col(norm_col)
     phrase = "(?<= )(?:" + "|".join(p for p, _ in base) + ")(?= )"
     none = F.lit(None).cast("struct<labels:array<string>,n:int,best:int>")
     gate = F.lit(False)
@@ -102,24 +105,24 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rules: list[Rule] = R
     has_base = F.lit(False)
     for p, _ in base:
         has_base = has_base | F.contains(norm, F.lit(f" {p} "))
-    df = df.withColumn("__parts", F.when(has_base, F.split(norm, phrase))).withColumn("__last", F.when(has_base, F.element_at(F.regexp_extract_all(norm, F.lit(phrase), F.lit(0)), -1)))
-    df = df.withColumn("__rules", F.when(gate, surviving(found(norm, rules))).otherwise(none))
+    df = df.withColumn(parts, F.when(has_base, F.split(norm, phrase))).withColumn(last, F.when(has_base, F.element_at(F.regexp_extract_all(norm, F.lit(phrase), F.lit(0)), -1)))
+    df = df.withColumn(ruled, F.when(gate, surviving(found(norm, rules))).otherwise(none))
     n_words = _spaces(norm) - 1
     labels = F.array_compact(F.array(*(F.when(F.contains(norm, F.lit(f" {p} ")), F.lit(label)) for p, label in base)))
-    best = F.col("__rules")["best"]
+    best = F.col(ruled)["best"]
     score = F.coalesce(F.element_at(F.create_map(*(x for p, s in SCORE.items() for x in (F.lit(p), F.lit(s)))), best), F.lit(0.0))
     df = (
         df.withColumn("n_words", n_words)
-        .withColumn("n_base", F.coalesce(F.size("__parts") - 1, F.lit(0)).cast("long"))
-        .withColumn("first_word", F.when(has_base, _spaces(F.element_at("__parts", 1)) - 1))
-        .withColumn("last_word", F.when(has_base, F.col("n_words") - (_spaces(F.element_at("__parts", -1)) - 1) - (_spaces(F.col("__last")) + 1)))
-        .withColumn("__base", labels)
-        .withColumn("base_labels", F.array_join(F.array_sort(F.array_distinct("__base")), ","))
-        .withColumn("labels", F.array_join(F.array_sort(F.array_union("__base", F.coalesce(F.col("__rules")["labels"], F.array().cast("array<string>")))), ","))
+        .withColumn("n_base", F.coalesce(F.size(parts) - 1, F.lit(0)).cast("long"))
+        .withColumn("first_word", F.when(has_base, _spaces(F.element_at(parts, 1)) - 1))
+        .withColumn("last_word", F.when(has_base, F.col("n_words") - (_spaces(F.element_at(parts, -1)) - 1) - (_spaces(F.col(last)) + 1)))
+        .withColumn(based, labels)
+        .withColumn("base_labels", F.array_join(F.array_sort(F.array_distinct(based)), ","))
+        .withColumn("labels", F.array_join(F.array_sort(F.array_union(based, F.coalesce(F.col(ruled)["labels"], F.array().cast("array<string>")))), ","))
         .withColumn("score", F.greatest(score, F.when(has_base, F.lit(SCORE[2])).otherwise(F.lit(0.0))))
-        .withColumn("n_detections", F.coalesce(F.col("__rules")["n"], F.lit(0)).cast("long"))
+        .withColumn("n_detections", F.coalesce(F.col(ruled)["n"], F.lit(0)).cast("long"))
     )
-    return df.drop("__norm", "__parts", "__last", "__rules", "__base")
+    return df.drop(norm_col, parts, last, ruled, based)
 
 
 def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:

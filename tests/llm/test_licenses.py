@@ -99,6 +99,18 @@ def test_against_brute_force(spark):
         assert tuple(x[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detections")) == brute(t), t
 
 
+def test_clashing_names_and_long_texts(spark):
+    """Working columns do not disturb those of the input; null ids, repeated rows, a text of 2 MB, an empty table."""
+    names = ["norm", "parts", "last", "rules", "base", "__norm", "__rules", "Norm_"]
+    texts = [(None, "MIT License"), (1, "MIT License"), (1, "MIT License"), (2, None), (3, "no words " * 220_000 + "Apache License")]
+    df = spark.createDataFrame([(i, t, *names) for i, t in texts], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = licenses.scan_licenses(df)
+    rows = out.collect()
+    assert out.columns[: 2 + len(names)] == df.columns and all([r[n] for n in names] == names for r in rows)
+    assert sorted(((r["doc_id"], r["n_words"], r["last_word"]) for r in rows), key=repr) == sorted([(None, 2, 0), (1, 2, 0), (1, 2, 0), (2, 0, None), (3, 440_002, 440_000)], key=repr)
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
 def test_detections_and_plan(spark):
     df = spark.createDataFrame([(1, "under the Apache License, Version 2.0"), (2, "nothing")], "doc_id long, text string")
     rows = licenses.detections(df).collect()

@@ -48,3 +48,31 @@ def test_stages_against_brute_force(spark):
 
 def test_stages_are_the_five():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeats", "decontamination", "packing"]
+
+
+def odd(spark, tmp_path, rows, extra=""):
+    """A folder of tables: the documents given, some labels, and the benchmark item ``alpha ... kappa``."""
+    names = ["lang", "source"]
+    spark.createDataFrame([(i, t, *names, len(t or "")) + ((extra,) * len(EXTRA) if extra else ()) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{c}` string" for c in EXTRA if extra)).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+EXTRA = ["id", "fp", "__id", "__fp", "block", "payload", "bytes", "row", "score", "component_id", "sequence_id", "toxic", "item_id"]
+
+
+def test_whole_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids, ids beyond 2^53, an id on unrelated texts, null and empty texts, repeated rows, a quoted item, and columns with the names of working columns."""
+    clean = ["one two three four five six seven", "a quite different text about rivers and stones", "third of them, unlike both of the others here"]
+    rows = [(1, clean[0]), (1, clean[1]), (1, clean[1]), (None, clean[2]), (None, clean[2]), (2**53 + 1, "large id with words of its own in it"), (7, None), (8, ""), (9, f"quoted: {ITEM} and more")]
+    got = corpus_pipeline.run(spark, odd(spark, tmp_path, rows, "x")).collect()
+    whole = {(r["doc_id"], r["doc_tokens"]) for r in got}
+    assert len(whole) == 5 and {d for d, _ in whole} == {None, 1, 2**53 + 1, 7}
+    for doc, n in whole:
+        assert sum(r["length"] for r in got if (r["doc_id"], r["doc_tokens"]) == (doc, n)) == n
+
+
+def test_whole_pipeline_of_no_rows(spark, tmp_path):
+    assert corpus_pipeline.run(spark, odd(spark, tmp_path, [])).collect() == []
