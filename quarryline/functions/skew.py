@@ -16,3 +16,9 @@ def correlation(a: Column, b: Column) -> Column:
     a, b = a.cast("double"), b.cast("double")
     r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
     return F.when((F.sum(a) == 0) | (F.sum(b) == 0), F.lit(0.0)).otherwise(F.coalesce(r, F.lit(0.0)))
+
+
+def defined_correlation(a: Column, b: Column) -> Column:
+    """Aggregate: 1 wherever Pearson's coefficient is defined, else 0; for plans made by analyzers that discard the coefficient."""
+    r = F.try_divide(F.covar_pop(a.cast("double"), b.cast("double")), F.stddev_pop(a.cast("double")) * F.stddev_pop(b.cast("double")))
+    return F.when(r.isNotNull() & ~F.isnan(r), F.lit(1.0)).otherwise(F.lit(0.0))

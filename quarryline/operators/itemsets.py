@@ -163,6 +163,23 @@ def by_frequency(transactions: DataFrame, frequent: DataFrame) -> DataFrame:
     return rows.groupBy("row").agg(ordered.alias("items")).groupBy("items").agg(F.count("*").alias("w"))
 
 
+def tree_statistics(ordered: DataFrame) -> DataFrame:
+    """``nodes long, depth int`` of the prefix tree of ordered transactions: its distinct prefixes, and the longest."""
+    prefixes = ordered.select(F.posexplode("items").alias("at", "x"), "items").select(F.expr("slice(items, 1, at + 1)").alias("prefix"))
+    return prefixes.groupBy("prefix").agg(F.size("prefix").alias("n")).agg(F.count("*").alias("nodes"), F.coalesce(F.max("n"), F.lit(0)).alias("depth"))
+
+
+def pair_intersections(transactions: DataFrame, multiset: bool = False) -> DataFrame:
+    """``item_a, item_b, n``: in how many transactions two items meet (with ``multiset``: as often as the rarer repeats), also 0; items meet by transaction, so no list is built."""
+    times = F.count("*").alias("times") if multiset else F.lit(1).cast("long").alias("times")
+    rows = transactions.select("tid", F.explode("items").alias("item")).groupBy("tid", "item").agg(times)
+    a, b = rows.alias("a"), rows.alias("b")
+    met = a.join(b, (F.col("a.tid") == F.col("b.tid")) & (F.col("a.item") < F.col("b.item"))).groupBy(F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b")).agg(F.sum(F.least("a.times", "b.times")).alias("n"))
+    items = rows.select("item").distinct()
+    every = items.select(F.col("item").alias("item_a")).join(items.select(F.col("item").alias("item_b")), F.col("item_a") < F.col("item_b"))  # the answer has these rows
+    return every.join(met, ["item_a", "item_b"], "left").select("item_a", "item_b", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 def project(rows: DataFrame) -> DataFrame:
     """Conditional transactions: each item of ``path`` joins the set, and the items before it are the new path."""
     more = rows.select("items", "w", F.col("path").alias("old"), F.posexplode("path").alias("at", "x"))

@@ -10,7 +10,6 @@ without a link to them are gone after the first round and pass nothing on.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ def _with_degree(edges: DataFrame) -> DataFrame:
 
 def adjacency_pagerank(edges: DataFrame, rounds: int, damping: float = 0.85, keep_sources: bool = False) -> DataFrame:
     """``id long, rank double``. A source's lines are merged; ``keep_sources`` gives vertices that only link ``1 - damping`` instead of dropping them."""
-    links = _with_degree(edges).persist(StorageLevel.MEMORY_AND_DISK)
+    links = materialize(_with_degree(edges), "links")
     sources = links.select(F.col("src").alias("id")).distinct()
     ranks = sources.withColumn("rank", F.lit(1.0))
     for i in range(1, rounds + 1):
@@ -42,7 +41,7 @@ def adjacency_pagerank(edges: DataFrame, rounds: int, damping: float = 0.85, kee
 
 def adjacency_pagerank_by_line(rows: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
     """The same for adjacency rows ``src, dsts`` that are not merged: a source on m lines starts with m ranks, and each line shares out every one of them."""
-    lines = rows.select(F.col("src").cast("long").alias("src"), "dsts").persist(StorageLevel.MEMORY_AND_DISK)
+    lines = materialize(rows.select(F.col("src").cast("long").alias("src"), "dsts"), "lines")
     ranks = lines.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
     for i in range(1, rounds + 1):
         sent = lines.join(ranks.withColumnRenamed("id", "src"), "src").select(F.explode("dsts").alias("id"), (F.col("rank") / F.size("dsts")).alias("part"))
@@ -54,7 +53,7 @@ def adjacency_pagerank_by_line(rows: DataFrame, rounds: int, damping: float = 0.
 
 def graph_pagerank(edges: DataFrame, rounds: int, reset_prob: float = 0.15, initial: float = 1.0) -> DataFrame:
     """``id long, rank double`` of all vertices."""
-    links = _with_degree(edges).persist(StorageLevel.MEMORY_AND_DISK)
+    links = materialize(_with_degree(edges), "links")
     vertices = links.select(F.col("src").alias("id")).union(links.select(F.col("dst").alias("id"))).distinct()
     ranks = vertices.withColumn("rank", F.lit(float(initial)))
     for i in range(1, rounds + 1):

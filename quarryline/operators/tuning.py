@@ -1,191 +1,153 @@
 """From an application's event log to a repartitioning report.
 
-Stages are grouped by their first RDD; per point the policies are tried in
-order (empty tasks, spill, garbage collection, imbalance of run times, then
-the caller's own) and the first answer counts.  A point that several RDDs
-share is iterative: if its stages always read the same amounts, the first
-answer is copied, else it is scaled by the records read.
-
-Task metrics are aggregated by Spark; the policies see one small record per
-stage.
+Everything is a DataFrame: task metrics are aggregated by stage, stages are
+grouped by their first RDD, and a policy is a column over a stage's totals that
+gives an action or null; the first policy with an answer counts (empty tasks,
+spill, garbage collection, imbalance of run times, then the caller's own).  A
+point that several RDDs share is iterative: if its stages always read the same
+amounts, the first answer is copied, else it is scaled by the records read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.skew import correlation, skewness
+from ..functions import skew
 from ..sources.readers import read_event_log
 
 HIGH_SKEWNESS, HIGH_CORRELATION = 2.0, 0.7
-PLAN = "adaptive_point string, seq int, action string, arg string"
-NO_ACTION, UPDATE_PARTITIONS, UPDATE_PARTITIONER, WARN = "act-noa", "act-unp", "act-up", "act-wrn"
+PLAN = ["adaptive_point", "seq", "action", "arg"]
+NO_ACTION, UPDATE_PARTITIONS, UPDATE_PARTITIONER, WARN = "no-act", "act-unp", "act-up", "act-wrn"
 PARTITIONERS = ("hashPartitioner", "rangePartitioner")
 INHERENT = "the imbalance is inherent, look at the function that makes this data"
 SPECIALISE = "consider a partitioner that knows the layout of the data"
 
 
-@dataclass(frozen=True)
-class Action:
-    point: str
-    kind: str = NO_ACTION
-    arg: str | int | None = None
-
-    def scaled(self, factor: float) -> Action:
-        """Numbers of partitions are scaled, other actions stay."""
-        if self.kind != UPDATE_PARTITIONS:
-            return self
-        return Action(self.point, self.kind, max(1, math.ceil(factor * int(self.arg))))
-
-    def __str__(self) -> str:
-        return ",".join(str(x) for x in (self.kind, self.point, self.arg) if x is not None)
-
-
-@dataclass(frozen=True)
-class StageStats:
-    """A stage with its tasks' totals and measures."""
-
-    stage_id: int
-    stage_name: str
-    num_tasks: int
-    rdd_id: int
-    point: str
-    n_rdds: int
-    records_read: int = 0
-    empty_tasks: int = 0
-    bytes_spilled: int = 0
-    shuffle_write_bytes: int = 0
-    gc_skew: float = 1.0
-    gc_min: int = 0
-    gc_max: int = 0
-    run_skew: float = 1.0
-    corr_bytes: float = 0.0
-    corr_records: float = 0.0
-
-
 @dataclass(frozen=True)
 class Thresholds:
+    """What counts as high, and how skewness (of one column) and correlation (of two) are measured; both are aggregates."""
+
     skewness: float = HIGH_SKEWNESS
     correlation: float = HIGH_CORRELATION
+    measure_skew: Callable[[Column], Column] = skew.skewness
+    measure_correlation: Callable[[Column, Column], Column] = skew.correlation
+
+    def high_skew(self, c: str) -> Column:
+        return F.coalesce(F.col(c) > self.skewness, F.lit(False))
 
-    def high_skew(self, x: float) -> bool:
-        return x > self.skewness
+    def high_corr(self, c: str) -> Column:
+        return F.coalesce(F.abs(F.col(c)) >= self.correlation, F.lit(False))
 
-    def high_corr(self, x: float) -> bool:
-        return abs(x) >= self.correlation
 
+Policy = Callable[[Thresholds], Column]
+"""A column over the rows of ``stage_stats``: ``action(...)``, or null for no answer."""
 
-Policy = Callable[[StageStats, Thresholds], Action | None]
 
+def action(kind: str, arg: Column | str | None = None) -> Column:
+    arg = F.lit(arg) if arg is None or isinstance(arg, str) else arg
+    return F.struct(F.lit(kind).alias("action"), arg.cast("string").alias("arg"))
 
-def empty_tasks(s: StageStats, t: Thresholds) -> Action | None:
-    return Action(s.point, UPDATE_PARTITIONS, max(1, s.num_tasks - s.empty_tasks)) if s.empty_tasks else None
 
+def drop_empty_tasks(t: Thresholds) -> Column:
+    """As many partitions as there are tasks with something to read."""
+    return F.when(F.col("empty_tasks") > 0, action(UPDATE_PARTITIONS, F.greatest(F.lit(1), F.col("num_tasks") - F.col("empty_tasks"))))
 
-def spill(s: StageStats, t: Thresholds) -> Action | None:
-    factor = s.bytes_spilled // s.shuffle_write_bytes if s.shuffle_write_bytes > 0 else 0
-    return Action(s.point, UPDATE_PARTITIONS, factor * s.num_tasks) if factor else None
 
+def avoid_spill(t: Thresholds) -> Column:
+    times = F.expr("CASE WHEN shuffle_write_bytes > 0 THEN bytes_spilled DIV shuffle_write_bytes ELSE 0 END")
+    return F.when(times > 0, action(UPDATE_PARTITIONS, times * F.col("num_tasks")))
 
-def garbage_collection(s: StageStats, t: Thresholds) -> Action | None:
-    return Action(s.point, UPDATE_PARTITIONS, s.gc_max // s.gc_min * s.num_tasks) if t.high_skew(s.gc_skew) and s.gc_min else None
 
+def spread_garbage(t: Thresholds) -> Column:
+    return F.when(t.high_skew("gc_skew") & (F.col("gc_min") > 0), action(UPDATE_PARTITIONS, F.expr("CASE WHEN gc_min > 0 THEN gc_max DIV gc_min END") * F.col("num_tasks")))
 
-def source_of_imbalance(s: StageStats, t: Thresholds) -> str:
-    if not t.high_skew(s.run_skew):
-        return "balanced"
-    high = t.high_corr(s.corr_bytes), t.high_corr(s.corr_records)
-    return "key distribution" if all(high) else "variable cost" if any(high) else "inherent"
 
+def imbalance_kind(t: Thresholds) -> Column:
+    """Whether tasks run equally long, and if not, how many of the two amounts they read explain it."""
+    explained = t.high_corr("corr_bytes").cast("int") + t.high_corr("corr_records").cast("int")
+    return F.when(~t.high_skew("run_skew"), "balanced").otherwise(F.element_at(F.array(F.lit("inherent"), F.lit("variable cost"), F.lit("key distribution")), explained + 1))
 
-def imbalance(s: StageStats, t: Thresholds) -> Action:
-    source = source_of_imbalance(s, t)
-    if source == "key distribution":
-        return Action(s.point, UPDATE_PARTITIONER, "rangePartitioner")
-    if source == "inherent":
-        return Action(s.point, WARN, INHERENT)
-    return Action(s.point, WARN, SPECIALISE) if source == "variable cost" else Action(s.point)
 
+def mend_imbalance(t: Thresholds) -> Column:
+    answers = {"key distribution": action(UPDATE_PARTITIONER, PARTITIONERS[1]), "inherent": action(WARN, INHERENT), "variable cost": action(WARN, SPECIALISE), "balanced": action(NO_ACTION)}
+    return F.coalesce(*(F.when(imbalance_kind(t) == kind, answer) for kind, answer in answers.items()))
 
-DEFAULT_POLICIES: tuple[Policy, ...] = (empty_tasks, spill, garbage_collection, imbalance)
 
+DEFAULT_POLICIES: tuple[Policy, ...] = (drop_empty_tasks, avoid_spill, spread_garbage, mend_imbalance)
 
-def stage_totals(tasks: DataFrame) -> DataFrame:
+
+def stage_totals(tasks: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
     """Per stage: records read, written and shuffled, bytes spilled, empty tasks, and measures of skew."""
     read = F.col("input_records") + F.col("shuffle_read_records")
     return tasks.groupBy("stage_id").agg(
         F.sum(read).alias("records_read"), F.sum("input_records").alias("input_records"), F.sum("shuffle_read_records").alias("shuffle_read_records"), F.sum("shuffle_read_bytes").alias("shuffle_read_bytes"),
         F.sum("shuffle_write_records").alias("shuffle_write_records"), F.sum("shuffle_write_bytes").alias("shuffle_write_bytes"), F.sum(F.when(read == 0, 1).otherwise(0)).alias("empty_tasks"),
         F.coalesce(F.sum(F.coalesce("memory_spilled", F.lit(0)) + F.coalesce("disk_spilled", F.lit(0))), F.lit(0)).alias("bytes_spilled"),
-        skewness(F.col("gc_time")).alias("gc_skew"), F.min("gc_time").alias("gc_min"), F.max("gc_time").alias("gc_max"), skewness(F.col("run_time")).alias("run_skew"),
-        correlation(F.col("run_time"), F.col("shuffle_read_bytes")).alias("corr_bytes"), correlation(F.col("run_time"), F.col("shuffle_read_records")).alias("corr_records"),
+        t.measure_skew(F.col("gc_time")).alias("gc_skew"), F.min("gc_time").alias("gc_min"), F.max("gc_time").alias("gc_max"), t.measure_skew(F.col("run_time")).alias("run_skew"),
+        t.measure_correlation(F.col("run_time"), F.col("shuffle_read_bytes")).alias("corr_bytes"), t.measure_correlation(F.col("run_time"), F.col("shuffle_read_records")).alias("corr_records"),
     )
 
 
-def stage_stats(stages: DataFrame, rdds: DataFrame, tasks: DataFrame, only_adaptive: bool = False) -> list[StageStats]:
-    """One record per stage of the log; its point is its first RDD's name."""
-    first = rdds.groupBy("stage_id").agg(F.min_by("name", "rdd_id").alias("point"), F.min("rdd_id").alias("rdd_id"), F.countDistinct("rdd_id").alias("n_rdds"))
-    rows = stages.join(first, "stage_id").join(stage_totals(tasks), "stage_id", "left").orderBy("stage_id").collect()  # a record per stage of one application
-    names = StageStats.__dataclass_fields__
-    found = [StageStats(**{k: r[k] for k in names if r[k] is not None}) for r in rows]
-    return [s for s in found if not only_adaptive or "adaptive" in s.point]
+def first_rdds(rdds: DataFrame) -> DataFrame:
+    """Per stage: id and name of its first RDD (the adaptive point), and how many it has."""
+    return rdds.groupBy("stage_id").agg(F.min("rdd_id").alias("rdd_id"), F.min_by("name", "rdd_id").alias("point"), F.countDistinct("rdd_id").alias("n_rdds"))
+
+
+def stage_stats(stages: DataFrame, rdds: DataFrame, tasks: DataFrame, only_adaptive: bool = False, thresholds: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
+    """One row per stage of the log with its point and totals; stages without finished tasks have totals of 0."""
+    rows = stages.select("stage_id", "stage_name", "num_tasks").join(first_rdds(rdds), "stage_id").join(stage_totals(tasks, thresholds), "stage_id", "left")
+    return (rows.where(F.col("point").contains("adaptive")) if only_adaptive else rows).na.fill(0)
 
 
-@dataclass
-class _Point:
-    instances: dict[int, list[StageStats]] = field(default_factory=dict)
+def _includes(larger: Column, smaller: Column) -> Column:
+    return F.size(F.array_except(smaller, larger)) == 0
 
 
-def _main(stages: list[StageStats]) -> StageStats:
-    return max(stages, key=lambda s: s.n_rdds)
+def regular(reads: Column) -> Column:
+    """``reads``: for each instance in order an array of (stage name, records read). Whether each instance's contain or are contained in the largest so far; a break starts anew."""
+    none = F.filter(reads[0], lambda x: F.lit(False))
+    known = F.aggregate(reads, none, lambda k, x: F.when(_includes(x, k), x).when(_includes(k, x), k).otherwise(none))
+    return F.size(known) > 0
 
 
-def _regular(instances: list[list[StageStats]]) -> bool:
-    """Whether the amounts read by an instance's stages always contain those of the other, one instance after another."""
-    known: dict[str, int] = {}
-    for stages in instances:
-        read = {s.stage_name: s.records_read for s in stages}
-        if not known or known.items() <= read.items():
-            known = read
-        elif not read.items() <= known.items():
-            known = {}
-    return bool(known)
+def points(stats: DataFrame) -> DataFrame:
+    """Per adaptive point: its instances (one for each RDD, in order) with the stage that has most RDDs, whether it is iterative, and whether its instances read the same amounts."""
+    main = F.max_by(F.struct(*(F.col(c) for c in stats.columns)), F.struct("n_rdds", -F.col("stage_id"))).alias("main")
+    reads = F.array_sort(F.collect_set(F.struct("stage_name", "records_read"))).alias("reads")  # the stages of one RDD of one application
+    instances = stats.groupBy("point", "rdd_id").agg(main, reads, F.min("stage_id").alias("begun"))
+    ordered = F.array_sort(F.collect_list(F.struct("rdd_id", "begun", "main", "reads")))
+    grouped = instances.groupBy("point").agg(ordered.alias("instances"))
+    return grouped.select("point", "instances", (F.size("instances") > 1).alias("iterative"), regular(F.transform("instances", lambda i: i["reads"])).alias("regular"))
 
 
-def plan(stats: list[StageStats], policies: tuple[Policy, ...] = (), thresholds: Thresholds = Thresholds()) -> dict[str, list[Action]]:  # noqa: B008
-    """Actions of each point, one for each of its RDDs in order. ``policies`` come after the default ones."""
+def plan(stats: DataFrame, policies: tuple[Policy, ...] = (), thresholds: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
+    """``PLAN`` and the stage that each row is about: actions of each point, one for each of its RDDs in order. ``policies`` come after the default ones."""
     chain = (*DEFAULT_POLICIES, *policies)
-    decide = lambda s: next((a for p in chain if (a := p(s, thresholds)) is not None), Action(s.point))
-    points: dict[str, _Point] = {}
-    for s in stats:
-        points.setdefault(s.point, _Point()).instances.setdefault(s.rdd_id, []).append(s)
-    out = {}
-    for name, point in points.items():
-        ordered = [point.instances[i] for i in sorted(point.instances)]
-        if len(ordered) == 1:
-            out[name] = [decide(_main(ordered[0]))]
-            continue
-        first = decide(_main(ordered[0]))
-        base = _main(ordered[0]).records_read
-        regular = _regular(ordered)
-        out[name] = [first] + [first if regular or not base else first.scaled(_main(x).records_read / base) for x in ordered[1:]]
-    return out
+    decided = stats.withColumn("decision", F.coalesce(*(p(thresholds) for p in chain), action(NO_ACTION)))
+    each = points(decided).select("point", "regular", F.col("instances")[0]["main"].alias("first"), F.posexplode("instances").alias("seq", "one"))
+    factor = F.col("one.main.records_read") / F.col("first.records_read")
+    scaled = F.greatest(F.lit(1), F.ceil(factor * F.col("first.decision.arg").try_cast("double")).cast("long")).cast("string")
+    moves = (F.col("seq") > 0) & ~F.col("regular") & (F.col("first.records_read") > 0) & (F.col("first.decision.action") == UPDATE_PARTITIONS)
+    arg = F.when(moves, scaled).otherwise(F.col("first.decision.arg"))
+    return each.select(F.col("point").alias("adaptive_point"), "seq", F.col("first.decision.action").alias("action"), arg.alias("arg"), F.col("one.begun").alias("stage_id"))
 
 
-def plan_frame(spark: SparkSession, actions: dict[str, list[Action]]) -> DataFrame:
-    rows = [(name, i, a.kind, None if a.arg is None else str(a.arg)) for name, own in actions.items() for i, a in enumerate(own)]
-    return spark.createDataFrame(rows, PLAN)
+def plan_lines(actions: DataFrame) -> DataFrame:
+    """``text``: the whole report as one row, points in the order of their first stages."""
+    entry = F.concat_ws(",", "action", "adaptive_point", "arg")
+    begun = actions.where("seq = 0").select("adaptive_point", F.col("stage_id").alias("begun"))
+    rows = actions.join(begun, "adaptive_point").select(F.struct("begun", "seq", entry.alias("entry")).alias("e"))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), ";").alias("text"))
 
 
-def plan_text(actions: dict[str, list[Action]]) -> str:
-    return ";".join(str(a) for own in actions.values() for a in own)
+def plan_text(actions: DataFrame) -> str:
+    return plan_lines(actions).first()["text"]
 
 
 def analyze(spark: SparkSession, path: str, policies: tuple[Policy, ...] = (), thresholds: Thresholds = Thresholds(), only_adaptive: bool = False) -> DataFrame:  # noqa: B008
     """``PLAN`` of an event log."""
-    return plan_frame(spark, plan(stage_stats(*read_event_log(spark, path), only_adaptive), policies, thresholds))
+    return plan(stage_stats(*read_event_log(spark, path), only_adaptive, thresholds), policies, thresholds).select(*PLAN)

@@ -68,3 +68,10 @@ def materialize_by(df: DataFrame, key: str, name: str = "table", buckets: int |
     found = spark.table(table).select("*")
     spark.sql(f"DROP TABLE {table}")  # the plan keeps the files and their buckets; the catalog needs no entry
     return found
+
+
+def storage_info(df: DataFrame) -> str:
+    """How a DataFrame is kept: ``memory``, ``disk``, both, or ``not stored``, and how many copies of it."""
+    level = df.storageLevel
+    kept = [name for name, on in (("memory", level.useMemory), ("disk", level.useDisk)) if on]
+    return f"{' and '.join(kept)}, {level.replication}x" if kept else "not stored"

@@ -2,6 +2,9 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from quarryline.functions.skew import defined_correlation
 from quarryline.operators import tuning
 from quarryline.sources import readers
 
@@ -35,7 +38,7 @@ def one(spark, tmp_path, tasks):
         ([task(0, i, gc=g) for i, g in enumerate((1, 1, 1, 10))], ("act-unp", "40")),
         ([task(0, i, run=r, read=n, bytes_=n) for i, (r, n) in enumerate(((10, 1), (10, 1), (10, 1), (100, 10)))], ("act-up", "rangePartitioner")),
         ([task(0, i, run=r, bytes_=b, read=n) for i, (r, b, n) in enumerate(((10, 10, 1), (10, 1, 10), (10, 10, 1), (100, 1, 10)))], ("act-wrn", tuning.INHERENT)),
-        ([task(0, i, run=5) for i in range(4)], ("act-noa", None)),
+        ([task(0, i, run=5) for i in range(4)], ("no-act", None)),
     ],
 )
 def test_policies(spark, tmp_path, tasks, expected):
@@ -52,17 +55,30 @@ def test_iterative_points(spark, tmp_path):
 def test_own_policy_and_thresholds(spark, tmp_path):
     events = [stage(0, 0, "r", 4), *(task(0, i, run=r) for i, r in enumerate((10, 10, 10, 30)))]
     assert plan(spark, tmp_path, *events, thresholds=tuning.Thresholds(skewness=1.5))[0][1] == "act-wrn"
-    asked = []
-    own = lambda s, t: asked.append(s.point) or tuning.Action(s.point, tuning.WARN, "mine")
-    assert plan(spark, tmp_path, *events, policies=(own,))[0][1] == "act-noa"
+    own = lambda t: tuning.action(tuning.WARN, "mine")
+    assert plan(spark, tmp_path, *events, policies=(own,))[0][1] == "no-act"
+    flat = tuning.Thresholds(measure_skew=lambda c: F.lit(9.0))
+    assert plan(spark, tmp_path, *events, thresholds=flat)[0][1] == "act-wrn"
+    compat = tuning.Thresholds(skewness=1.5, measure_correlation=defined_correlation)
+    varied = [stage(0, 0, "r", 4), *(task(0, i, run=r, bytes_=i + 1, read=4 - i) for i, r in enumerate((10, 10, 10, 30)))]
+    assert plan(spark, tmp_path, *varied, thresholds=compat)[0][1:] == ("act-up", "rangePartitioner")
     assert plan(spark, tmp_path, stage(0, 0, "plain", 1), task(0, 0), only_adaptive=True) == []
 
 
-def test_text_and_scaling():
-    a = tuning.Action("p", tuning.UPDATE_PARTITIONS, 3)
-    assert str(a.scaled(0.1)) == "act-unp,p,1" and a.scaled(2.5).arg == 8
-    assert tuning.Action("p", tuning.WARN, "x").scaled(2).arg == "x"
-    assert tuning.plan_text({"p": [a, tuning.Action("p")]}) == "act-unp,p,3;act-noa,p"
+def test_text_and_scaling(spark):
+    rows = [("b", 0, "act-unp", "3", 4), ("b", 1, "act-unp", "8", 9), ("a", 0, "no-act", None, 7)]
+    assert tuning.plan_text(spark.createDataFrame(rows, "adaptive_point string, seq int, action string, arg string, stage_id long")) == "act-unp,b,3;act-unp,b,8;no-act,a"
+
+
+def test_points_and_regular(spark, tmp_path):
+    """Two stages of one RDD: that with more RDDs speaks; a point is regular while one instance's reads contain the other's."""
+    events = [stage(0, 0, "p", 2, 1), task(0, 0, read=5), stage(1, 0, "p", 6, 3), task(1, 0, read=0), stage(2, 10, "p", 2, 1), task(2, 0, read=5)]
+    events[2]["Stage Info"]["Stage Name"] = "wide"
+    path = tmp_path / "log"
+    path.write_text("\n".join(json.dumps(e) for e in events))
+    found = tuning.points(tuning.stage_stats(*readers.read_event_log(spark, str(path)))).collect()
+    assert [(r["point"], r["iterative"], r["regular"], [i["main"]["stage_id"] for i in r["instances"]]) for r in found] == [("p", True, True, [1, 2])]
+    assert [(r["adaptive_point"], r["action"], r["arg"]) for r in tuning.analyze(spark, str(path)).orderBy("seq").collect()] == [("p", "act-unp", "5")] * 2
 
 
 def test_own_event_log(spark, tmp_path):
