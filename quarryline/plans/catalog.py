@@ -104,10 +104,7 @@ def tid_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tid_list_intersections(spark: SparkSession, d: str) -> DataFrame:
-    lists = materialize(itemsets.tid_lists(_brands(spark, d)), "tids")
-    a, b = lists.alias("a"), lists.alias("b")
-    pairs = a.join(b, F.col("a.item") < F.col("b.item"))
-    return pairs.select(F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"), F.size(F.array_intersect("a.tids", "b.tids")).cast("long").alias("n"))
+    return itemsets.pair_intersections(_brands(spark, d))
 
 
 def prefix_selfjoin(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarryline.plans import catalog
+from quarryline.plans import registry as catalog
 
 DATA = "/root/testdata/sf0.001"
 
