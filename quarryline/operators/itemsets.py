@@ -28,6 +28,8 @@ SETS = "items array<int>, support long"
 BROADCAST_SETS = 500_000
 #: Frequent items up to this number are looked up within the row; more are joined.
 IN_ROW_ITEMS = 2_000
+#: Conditional paths of a set that one task mines; more are projected by one further item first.
+GROUP_PATHS = 200_000
 
 
 def baskets(pairs: DataFrame, tid: str = "tid", item: str = "item", distinct: bool = True) -> DataFrame:
@@ -47,12 +49,16 @@ def frequent_items(transactions: DataFrame, count: int, multiset: bool = False)
     return item_support(transactions, multiset).where(F.col("support") > count)
 
 
-def tid_lists(transactions: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
-    """``item, tids array<long>`` (ascending; a repeated item repeats the id), of frequent items if they are given."""
+def tid_lists(transactions: DataFrame, frequent: DataFrame | None = None, chunk: int | None = None) -> DataFrame:
+    """``item, tids array<long>`` (ascending; a repeated item repeats the id), of frequent items if they are given.
+
+    A common item's list may outgrow a row: with ``chunk`` there is a row, with ``part long``, for each range of so many ids.
+    """
     rows = transactions.select("tid", F.explode("items").alias("item"))
     if frequent is not None:
         rows = rows.join(frequent.select("item"), "item", "left_semi")
-    return rows.groupBy("item").agg(F.sort_array(F.collect_list("tid")).alias("tids"))
+    by = ["item"] if chunk is None else ["item", F.floor(F.col("tid") / chunk).cast("long").alias("part")]
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list("tid")).alias("tids"))
 
 
 def intersect_sorted(a: Column, b: Column) -> Column:
@@ -209,8 +215,10 @@ def twidd(transactions: DataFrame, min_support: float, mu: int = 2, rho: int = 2
 
     Equal ordered transactions are merged; ``mu`` deals them out by their first
     ``mu`` items (if a number of partitions is given).  Sets of up to ``rho``
-    items are counted by projection; those of exactly ``rho`` items also carry
-    their conditional paths, merged, from which each group is mined on its own.
+    items are counted by projection, each level from the frequent sets of the one
+    before; those of exactly ``rho`` items also carry their conditional paths,
+    merged, from which each group is mined on its own.  Groups of more than
+    ``GROUP_PATHS`` paths are split by their next items.
 
     ``compat_mu_loss``: transactions with fewer than ``mu`` frequent items are
     lost, as in implementations that drop them when they split their trees.
@@ -229,11 +237,27 @@ def twidd(transactions: DataFrame, min_support: float, mu: int = 2, rho: int = 2
     rho = max(1, rho)
     rows = merged.select(F.array().cast("array<int>").alias("items"), F.col("items").alias("path"), "w")
     out = None
-    for level in range(1, rho):
+    for _ in range(1, rho):
         rows = project(rows)
-        counted = rows.groupBy("items").agg(F.sum("w").alias("support")).where(F.col("support") > count)
+        counted = materialize(rows.groupBy("items").agg(F.sum("w").alias("support")).where(F.col("support") > count), "counted")
+        out = counted if out is None else out.unionByName(counted)
+        rows = _only(rows, counted.select("items"), counted.count())
+    rows = materialize(project(rows).groupBy("items", "path").agg(F.sum("w").alias("w")), "paths")
+    conditional = None
+    while True:
+        sizes = rows.groupBy("items").agg(F.count("*").alias("paths"), F.sum("w").alias("support"))
+        large = materialize(sizes.where((F.col("paths") > GROUP_PATHS) & (F.col("support") > count)), "large")
+        n_large = large.count()
+        if not n_large:
+            conditional = rows if conditional is None else conditional.unionByName(rows)
+            break
+        sets = F.broadcast(large.select("items")) if n_large <= BROADCAST_SETS else large.select("items")
+        counted = large.select("items", "support")
         out = counted if out is None else out.unionByName(counted)
-    conditional = project(rows).groupBy("items", "path").agg(F.sum("w").alias("w"))
+        rest = rows.join(sets, "items", "left_anti")
+        conditional = rest if conditional is None else conditional.unionByName(rest)
+        split = project(rows.join(sets, "items", "left_semi").select("items", "path", "w"))
+        rows = materialize(split.groupBy("items", "path").agg(F.sum("w").alias("w")), "paths")
 
     def mine(group: pa.Table) -> pa.Table:
         items = group.column("items")[0].as_py()

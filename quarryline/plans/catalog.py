@@ -99,8 +99,9 @@ def twidd_mu_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tid_lists(spark: SparkSession, d: str) -> DataFrame:
-    lists = itemsets.tid_lists(_brands(spark, d))
-    return lists.select("item", F.size("tids").cast("long").alias("n"), F.aggregate("tids", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_tids"), F.col("tids")[0].alias("first_tid"))
+    lists = itemsets.tid_lists(_brands(spark, d), chunk=1_000)
+    total = F.aggregate("tids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return lists.groupBy("item").agg(F.sum(F.size("tids")).alias("n"), F.sum(total).alias("sum_tids"), F.min(F.col("tids")[0]).alias("first_tid"))
 
 
 def tid_list_intersections(spark: SparkSession, d: str) -> DataFrame:

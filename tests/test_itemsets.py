@@ -122,3 +122,33 @@ def test_writers(spark, text, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "a")).collect()) == ["1 6", "1,2 3", "1,3 3", "2 4", "3 4", "4 3"]
     writers.write_itemset_levels(found, str(tmp_path / "b"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "b" / "level=2")).collect()) == ["1,2 3", "1,3 3"]
+
+
+@pytest.mark.parametrize("rho", [1, 2])
+def test_twidd_splits_large_groups(spark, monkeypatch, rho):
+    """Groups of more than one path are split by their next items, again and again; the sets are those of eclat."""
+    rows = [(1, 2, 3, 4), (1, 2, 3), (2, 3, 4), (1, 3, 4, 5), (1, 2, 4, 5), (2, 5), (1, 2, 3, 4, 5), (3,), ()]
+    df = spark.createDataFrame([(list(r),) for r in rows], "items array<int>")
+    expected = {(tuple(r["items"]), r["support"]) for r in itemsets.eclat(df, 0.12).collect()}
+    monkeypatch.setattr(itemsets, "GROUP_PATHS", 1)
+    found = [(tuple(r["items"]), r["support"]) for r in itemsets.twidd(df, 0.12, rho=rho).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_tid_lists_in_parts(spark):
+    df = spark.createDataFrame([(i, [1, 2] if i % 2 else [1, 1]) for i in range(25)], "tid long, items array<int>")
+    parts = {(r["item"], r["part"]): r["tids"] for r in itemsets.tid_lists(df, chunk=10).collect()}
+    assert parts[2, 1] == [11, 13, 15, 17, 19] and parts[1, 2] == [20, 20, 21, 22, 22, 23, 24, 24] and len(parts) == 6
+
+
+def test_tree_statistics(spark):
+    """The prefix tree of 1 2 3, 1 2, 1 4 and 5 has five nodes."""
+    df = spark.createDataFrame([([1, 2, 3],), ([1, 2],), ([1, 4],), ([5],)], "items array<int>")
+    assert tuple(itemsets.tree_statistics(df).first()) == (5, 3)
+    assert tuple(itemsets.tree_statistics(df.limit(0)).first()) == (0, 0)
+
+
+def test_pair_intersections(spark):
+    df = spark.createDataFrame([(1, [1, 1, 2, 2]), (2, [1, 2]), (3, [3])], "tid long, items array<int>")
+    rows = lambda **o: sorted(map(tuple, itemsets.pair_intersections(df, **o).collect()))
+    assert rows() == [(1, 2, 2), (1, 3, 0), (2, 3, 0)] and rows(multiset=True) == [(1, 2, 3), (1, 3, 0), (2, 3, 0)]
