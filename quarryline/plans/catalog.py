@@ -43,17 +43,15 @@ def _suppliers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trade_edges(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _table(spark, d, "orders").select("o_orderkey", "o_custkey").join(_table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s")).distinct()
-    there = pairs.select((F.col("c") * 2).alias("src"), (F.col("s") * 2 + 1).alias("dst"))
-    back = pairs.where("c % 5 = 0 AND s % 2 = 0").select((F.col("s") * 2 + 1).alias("src"), (F.col("c") * 2).alias("dst"))
-    return there.union(back)
+    """Every customer links to its suppliers, and a supplier back to the customers whose partly fulfilled orders it serves: customers without such orders have no in-links."""
+    orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "P").alias("partly"))
+    lines = orders.join(_table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = lines.groupBy(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s")).agg(F.bool_or("partly").alias("partly"))
+    there, back = ((F.col("c") * 2).alias("src"), (F.col("s") * 2 + 1).alias("dst")), ((F.col("s") * 2 + 1).alias("src"), (F.col("c") * 2).alias("dst"))
+    return pairs.select(*there).union(pairs.where("partly").select(*back))
 
 
 def _order_part_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "lineitem").where("l_linenumber <= 2 AND l_quantity >= 44").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
-
-
-def _whole_order_part_edges(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
 
 
@@ -178,21 +176,8 @@ def graph_counts(spark: SparkSession, d: str) -> DataFrame:
     return components(spark, d).agg(F.count("*").alias("n_vertices"), F.countDistinct("component").alias("n_components"))
 
 
-def components_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All lineitem rows are edges. No SQL: its closure holds a row for each vertex and smaller vertex of a component."""
-    return connected_components(materialize(_whole_order_part_edges(spark, d), "edges"))
-
-
-def component_sizes_whole(spark: SparkSession, d: str) -> DataFrame:
-    return components_whole(spark, d).groupBy("component").agg(F.count("*").alias("n"))
-
-
-def graph_counts_whole(spark: SparkSession, d: str) -> DataFrame:
-    return components_whole(spark, d).agg(F.count("*").alias("n_vertices"), F.countDistinct("component").alias("n_components"))
-
-
-_TRADE = """p AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-e AS (SELECT c * 2 AS src, s * 2 + 1 AS dst FROM p UNION ALL SELECT s * 2 + 1, c * 2 FROM p WHERE c % 5 = 0 AND s % 2 = 0),
+_TRADE = """p AS (SELECT o_custkey AS c, l_suppkey AS s, bool_or(o_orderstatus = 'P') AS partly FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_suppkey),
+e AS (SELECT c * 2 AS src, s * 2 + 1 AS dst FROM p UNION ALL SELECT s * 2 + 1, c * 2 FROM p WHERE partly),
 g AS (SELECT src, count(*) AS deg FROM e GROUP BY src)"""
 
 
@@ -204,10 +189,10 @@ def _pagerank_sql(graph: bool) -> str:
     return f"WITH {_TRADE}, {', '.join(steps)} SELECT id, round(rank, 6) AS rank FROM r{ROUNDS}"
 
 
-_COMPONENTS = """WITH RECURSIVE d AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_linenumber <= 2 AND l_quantity >= 44),
+#: One row for each vertex, whose label falls until no neighbour has a smaller one.
+_COMPONENTS = """WITH RECURSIVE d AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem),
 e AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
-r(id, t) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.t FROM r JOIN e ON e.a = r.id WHERE r.t < e.b),
-c AS (SELECT id, min(t) AS component FROM r GROUP BY id)"""
+c(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(c.component) FROM c JOIN e ON e.a = c.id JOIN recurring.c k ON k.id = e.b WHERE c.component < k.component GROUP BY e.b)"""
 
 
 # ---- clusters
@@ -308,9 +293,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "components": components,
     "component_sizes": component_sizes,
     "graph_counts": graph_counts,
-    "components_whole": components_whole,
-    "component_sizes_whole": component_sizes_whole,
-    "graph_counts_whole": graph_counts_whole,
     "kmeans_assign": kmeans_assign,
     "kmeans_sse": kmeans_sse,
     "kmeans_centers": kmeans_centers,

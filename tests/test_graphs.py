@@ -51,6 +51,14 @@ def test_components(spark, text):
     assert {r["id"]: r["component"] for r in connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
 
 
+@pytest.mark.parametrize("hub_rows", [100, 1_000_000])
+def test_components_hub(spark, hub_rows):
+    """A vertex that holds every edge, as the largest and as the smallest id, and one that joins two hubs; with and without salts."""
+    edges = spark.createDataFrame([(i, 9999) for i in range(1, 3000)] + [(10_000, i) for i in range(10_001, 13_000)] + [(20_000, i) for i in range(20_001, 20_010)] + [(9999, 12_999)], "src long, dst long")
+    got = {r["id"]: r["component"] for r in connected_components(edges, hub_rows=hub_rows).collect()}
+    assert got == {**dict.fromkeys([*range(1, 3000), 9999, *range(10_000, 13_000)], 1), **dict.fromkeys(range(20_000, 20_010), 20_000)}
+
+
 def test_components_long_path_loops_and_nulls(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1000), (None, 5), (7, 7), (2000, 2001), (2001, 2000)], "src long, dst long")
@@ -74,11 +82,11 @@ def test_whole_graph_queries(spark, tmp_path):
         a, b = find(2 * o), find(2 * p + 1)
         parent[max(a, b)] = min(a, b)
     expected = {x: find(x) for x in parent}
-    got = catalog.QUERIES["components_whole"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["components"](spark, str(tmp_path)).collect()
     assert len(got) == len(expected) and {r["id"]: r["component"] for r in got} == expected
     sizes = {c: list(expected.values()).count(c) for c in expected.values()}
-    assert {r["component"]: r["n"] for r in catalog.QUERIES["component_sizes_whole"](spark, str(tmp_path)).collect()} == sizes and max(sizes.values()) > 20
-    assert tuple(catalog.QUERIES["graph_counts_whole"](spark, str(tmp_path)).first()) == (len(expected), len(sizes))
+    assert {r["component"]: r["n"] for r in catalog.QUERIES["component_sizes"](spark, str(tmp_path)).collect()} == sizes and max(sizes.values()) > 20
+    assert tuple(catalog.QUERIES["graph_counts"](spark, str(tmp_path)).first()) == (len(expected), len(sizes))
 
 
 @pytest.mark.parametrize("line", ["1 x", "1"])
