@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import string
 
+from .license_rules import RULES
+from .licenses import BASE, SCORE
+
 _LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -48,3 +52,41 @@ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQ
 CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to
 FROM n
 """
+
+
+def _license_sql() -> str:
+    r"""Detections by definition: one goes if any other of higher rank covers it.
+
+    DuckDB's expressions look neither back nor ahead. So letters beyond ASCII
+    are told as ``A``, which gives words the beginnings that ``\b`` finds, and
+    every word ends in a bar, which a match takes.
+    """
+
+    def barred(pattern: str) -> str:
+        first = {"[^ ]* ?": r"(?:[^| ]+(?:\| )?)?", ".{": r"(?:[^| ]|\| ){", " ?": r"(?:\| )?", " ": r"\| "}
+        return re.sub(r"\[\^ \]\* \?|\.\{| \?| ", lambda m: first[m[0]], pattern)
+
+    rules = ", ".join(f"({r.number}, {r.priority}, '{r.label}', '{r.keyword}', '{barred(r.pattern)}')" for r in RULES)
+    phrases = [(label, " AND ".join(f"w[k + {j}] = '{word}'" for j, word in enumerate(phrase.split(), 1))) for phrase, label in BASE]
+    places = ", ".join(f"list_filter(range(len(w)), lambda k: {same}) AS at_{label}" for label, same in phrases)
+    every = "list_concat(" + ", ".join(f"at_{label}" for label, _ in phrases) + ")"
+    labels = "list_filter([" + ", ".join(f"CASE WHEN len(at_{label}) > 0 THEN '{label}' END" for label, _ in phrases) + "], lambda x: x IS NOT NULL)"
+    worth = " ".join(f"WHEN {p} THEN {s}" for p, s in SCORE.items())
+    return rf"""
+WITH rules(number, priority, label, keyword, pattern) AS (VALUES {rules}),
+n AS (SELECT doc_id, regexp_replace(regexp_replace(' ' || {_LOW} || ' ', '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^\x00-\x7F]', 'A', 'g') AS norm FROM documents),
+m AS (SELECT doc_id, number, priority, label, string_split(regexp_replace(replace(norm, ' ', '| '), '\b(' || pattern || ')\|', chr(1) || '\1' || chr(2), 'g'), ' ') AS w FROM n JOIN rules ON contains(norm, keyword)),
+x AS (SELECT doc_id, number, priority, label, unnest(list_filter(range(len(w)), lambda i: starts_with(w[i + 1], chr(1)))) - 1 AS b, unnest(list_filter(range(len(w)), lambda i: ends_with(w[i + 1], chr(2)))) AS e FROM m),
+f AS (SELECT * FROM x d WHERE NOT EXISTS (SELECT 1 FROM x o WHERE o.doc_id = d.doc_id AND o.b <= d.b AND o.e >= d.e AND (o.priority > d.priority OR o.priority = d.priority AND (o.e - o.b > d.e - d.b OR o.e - o.b = d.e - d.b AND o.number < d.number)))),
+g AS (SELECT doc_id, list(DISTINCT label) AS labels, max(priority) AS best, count(*) AS n FROM f GROUP BY doc_id),
+t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, {places} FROM t),
+q AS (SELECT doc_id, n_words, {every} AS places, {labels} AS base FROM p)
+SELECT q.doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels,
+CAST(greatest(CASE best {worth} ELSE 0 END, CASE WHEN len(places) > 0 THEN {SCORE[2]} ELSE 0 END) AS DOUBLE) AS score, coalesce(n, 0) AS n_detections
+FROM q LEFT JOIN g ON q.doc_id = g.doc_id
+"""
+
+
+LICENSES = _license_sql()

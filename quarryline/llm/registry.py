@@ -17,6 +17,7 @@ QUERIES = {
     "op10_harmonic_packing": packing.op10_harmonic_packing,
 }
 ORACLES: dict[str, str] = {
+    "op1_license_scans": oracles.LICENSES,
     "op3_suffix_array_dedup": oracles.REPEATS,
     "op5_benchmark_decontamination": oracles.CONTAMINATION,
     "op7_warc_records": oracles.WARC,

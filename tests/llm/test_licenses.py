@@ -2,9 +2,10 @@ import itertools
 import random
 import re
 
+import duckdb
 import pytest
 
-from quarryline.llm import licenses
+from quarryline.llm import licenses, oracles
 from quarryline.llm.license_rules import GATES, RULES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -99,6 +100,19 @@ def test_against_brute_force(spark):
         assert tuple(x[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detections")) == brute(t), t
 
 
+def test_sql_against_brute_force():
+    """The SQL's suppression by definition and its edges of words, on every form of every rule."""
+    r = random.Random(1)
+    every = [f for rule in RULES for f in forms(re._parser.parse(rule.pattern))]
+    texts = [f"É {a} ß, {b}\n{b} {c}é" for a, b, c in zip(every, r.sample(every, len(every)), r.sample(every, len(every)), strict=True)]
+    texts += [None, "", "all rights reserved all rights reserved", "MIT License MIT license\x01MIT\x02license", "émit license", "mit licenseé", "GPLv2 gplv2", "copyright Ünïcode all rights reserved"]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = {x[0]: x[1:] for x in c.sql(oracles.LICENSES).fetchall()}
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != brute(t)] == []
+
+
 def test_clashing_names_and_long_texts(spark):
     """Working columns do not disturb those of the input; null ids, repeated rows, a text of 2 MB, an empty table."""
     names = ["norm", "parts", "last", "rules", "base", "__norm", "__rules", "Norm_"]
