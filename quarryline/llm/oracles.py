@@ -7,6 +7,7 @@ import string
 
 from .license_rules import RULES
 from .licenses import BASE, SCORE
+from .simhash import BITS, SEED, SHINGLE
 
 _LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -90,3 +91,58 @@ FROM q LEFT JOIN g ON q.doc_id = g.doc_id
 
 
 LICENSES = _license_sql()
+
+
+def _simhash_sql() -> str:
+    """XXH64 in 128-bit numbers, the fingerprints, and every pair of different fingerprints.
+
+    A rotation is a product modulo ``2**64 - 1`` (a word of ones alone would become zero: one value of ``2**64``).
+    """
+    # fixed values of XXH64
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    whole, ones = f"{1 << 64}::UHUGEINT", f"{(1 << 64) - 1}::UHUGEINT"
+
+    def times(a: str, p: str, plus: str = "0::UHUGEINT") -> str:
+        return f"((({a}) * {p} + {plus}) % {whole})"
+
+    def turn(a: str, by: int) -> str:
+        return f"(({a}) * {1 << by}::UHUGEINT % {ones})"
+
+    def word(at: str, size: int = 8) -> str:
+        return "CAST('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * j + 1}, 2)" for j in reversed(range(size))) + " AS UBIGINT)::UHUGEINT"
+
+    def lane(a: str) -> str:
+        return times(turn(times(a, p2), 31), p1)
+
+    starts = [f"({SEED}::UHUGEINT + {p1} + {p2}) % {whole}", f"({SEED}::UHUGEINT + {p2}) % {whole}", f"{SEED}::UHUGEINT", f"({SEED}::UHUGEINT + {whole} - {p1}) % {whole}"]
+    lanes = [f"list_reduce(list_transform(range(n // 32), lambda j: {times(word(f'32 * j + {8 * i}'), p2)}), lambda v, k: {times(turn(f'(v + k) % {whole}', 31), p1)}, {start}) AS v{i}" for i, start in enumerate(starts)]
+    merged = "(" + " + ".join(turn(f"v{i}", by) for i, by in enumerate((1, 7, 12, 18))) + f") % {whole}"
+    for i in range(4):
+        merged = times(f"xor({merged}, {lane(f'v{i}')})", p1, p4)
+    eights = f"list_reduce(list_transform(range(n % 32 // 8), lambda j: {word('n - n % 32 + 8 * j')}), lambda a, k: {times(turn(f'xor(a, {lane("k")})', 27), p1, p4)}, h)"
+    four = times(turn(f"xor(h, {times(word('n - n % 8', 4), p1)})", 23), p2, p3)
+    single = f"list_reduce(list_transform(range(n - n % 4, n), lambda o: {word('o', 1)}), lambda a, b: {times(turn(f'xor(a, {times("b", p5)})', 11), p1)}, h)"
+    bits = " + ".join(f"CASE WHEN 2 * sum(c * ((h >> {b}) & 1)) > sum(c) THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(64))
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE}, 0) + 2)) AS k FROM t WHERE len(w) > 0),
+g AS MATERIALIZED (SELECT doc_id, s, count(*) AS c FROM (SELECT doc_id, array_to_string(w[k:k + {SHINGLE - 1}], ' ') AS s FROM k) GROUP BY doc_id, s),
+u AS (SELECT s, hex(encode(s)) AS x, strlen(s) AS n FROM (SELECT DISTINCT s FROM g)),
+h0 AS (SELECT s, x, n, {', '.join(lanes)} FROM u),
+h1 AS (SELECT s, x, n, (CASE WHEN n >= 32 THEN {merged} ELSE {SEED}::UHUGEINT + {p5} END + n::UHUGEINT) % {whole} AS h FROM h0),
+h2 AS (SELECT s, x, n, {eights} AS h FROM h1),
+h3 AS (SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h FROM h2),
+h4 AS (SELECT s, {single} AS h FROM h3),
+h5 AS (SELECT s, {times(f'xor(h, h // {1 << 33}::UHUGEINT)', p2)} AS h FROM h4),
+h6 AS (SELECT s, {times(f'xor(h, h // {1 << 29}::UHUGEINT)', p3)} AS h FROM h5),
+h7 AS (SELECT s, CAST(xor(h, h // {1 << 32}::UHUGEINT) AS UBIGINT) AS h FROM h6),
+f AS (SELECT doc_id, CAST({bits} AS UBIGINT) AS fp FROM g JOIN h7 ON g.s = h7.s GROUP BY doc_id),
+d AS MATERIALIZED (SELECT t.doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM t LEFT JOIN f ON t.doc_id = f.doc_id),
+v AS (SELECT DISTINCT fp FROM d),
+e AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM v a JOIN v b ON bit_count(CAST(xor(a.fp, b.fp) AS BIT)) <= {BITS} AND a.fp <> b.fp),
+r(fp, id) USING KEY (fp) AS (SELECT fp, min(doc_id) FROM d GROUP BY fp UNION SELECT e.b, min(r.id) FROM r JOIN e ON e.a = r.fp JOIN recurring.r o ON o.fp = e.b WHERE r.id < o.id GROUP BY e.b)
+SELECT doc_id, lpad(lower(hex(d.fp)), 16, '0') AS fingerprint, id AS component_id FROM d JOIN r ON d.fp = r.fp
+"""
+
+
+SIMHASH = _simhash_sql()

@@ -21,4 +21,5 @@ ORACLES: dict[str, str] = {
     "op3_suffix_array_dedup": oracles.REPEATS,
     "op5_benchmark_decontamination": oracles.CONTAMINATION,
     "op7_warc_records": oracles.WARC,
+    "op9_golay_simhash": oracles.SIMHASH,
 }

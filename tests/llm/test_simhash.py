@@ -1,11 +1,12 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
-from quarryline.llm import golay, simhash
+from quarryline.llm import golay, oracles, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,6 +51,20 @@ def corpus(seed=0):
     return [*texts, *near, texts[0], texts[1].upper(), None, "", " \t\n", "one two", "ONE  two", "solo"]
 
 
+def test_sql_against_brute_force():
+    """The SQL's XXH64 on every length up to 120 and with long words, its fingerprints and groups."""
+    r = random.Random(5)
+    letters = "abz09é日😀-.X"
+    texts = corpus() + ["".join(r.choice(letters) for _ in range(n)) for n in range(1, 121)]
+    texts += [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 60))) for _ in range(r.randint(1, 40))) for _ in range(60)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = sorted(c.sql(oracles.SIMHASH).fetchall())
+    fps = [fingerprint(t) for t in texts]
+    assert got == [(i, f"{fp:016x}", least) for i, (fp, least) in enumerate(zip(fps, groups(fps, range(len(fps))), strict=True))]
+
+
 def test_golay_code():
     near, far, count = golay._errors()
     assert len(np.unique(near)) == 2048 and all(int(p).bit_count() <= 3 for p in near) and count.sum() == 8855
