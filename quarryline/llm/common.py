@@ -11,12 +11,32 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; bounds the memory of a Python worker.
 CHUNK_BYTES = 4 << 20
+#: Smaller tables are not worth a shuffle, however few tasks scan them.
+SPREAD_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows lie in at least as many tasks as there are cores.
+
+    A file of few row groups is scanned by few tasks, however large they are.
+    The rows of such a table are dealt out once; a table of enough bytes to
+    fill all cores' scans, or whose rows already lie in enough tasks, is read as
+    it is.  Rows are counted by footers, no column is read for it.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    full_scan = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if not SPREAD_BYTES <= size < cores * full_scan:
+        return df
+    tasks = df.select(F.spark_partition_id().alias("task")).distinct().count()
+    return df if tasks >= cores else df.repartition(cores)
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """Names for working columns that no column of the input has (Spark does not tell upper from lower case)."""
     taken = {c.lower() for c in columns}

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import chunks, slices, spans_to_index, table, words
+from .common import chunks, slices, spans_to_index, spread_table, table, words
 from .word_suffixes import Words, WordSuffixArray, extend
 
 WINDOW = 10
@@ -261,4 +261,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -26,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, spread_table
 from .license_rules import GATES, RULES, Rule
 
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -136,5 +136,5 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detections")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, new_path
-from .common import chunks, table
+from .common import chunks, spread_table
 
 #: Bytes are padded with zeros to a positive multiple of this.
 UNIT = 64
@@ -314,4 +314,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(spread_table(spark, sf_dir, "documents"))

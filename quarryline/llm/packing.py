@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import ByteBpe
-from .common import chunks, table
+from .common import chunks, spread_table
 
 CAPACITY = 1024
 SEPARATOR_ID = 0
@@ -167,4 +167,4 @@ def read_vocabulary(path: str | None = None) -> bytes:
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), read_vocabulary())
+    return pack(spread_table(spark, sf_dir, "documents"), read_vocabulary())

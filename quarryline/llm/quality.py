@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import chunks, fold, slices, table
+from .common import chunks, fold, slices, spread_table, table
 
 #: Labelled rows that the model is learned from, at most: those with the smallest hashes.
 TRAIN_ROWS = 20_000
@@ -250,7 +250,7 @@ def score(known: DataFrame, model: Additive) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = materialize(features(table(spark, sf_dir, "documents")), "features")
+    known = materialize(features(spread_table(spark, sf_dir, "documents")), "features")
     labels = table(spark, sf_dir, "labels")
     model = fit(known, labels.where(fold("doc_id", FOLDS) != HELD_OUT))
     held_out = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import materialize, materialize_by, release
-from .common import byte_view, chunks, slices, spans_to_index, table
+from .common import byte_view, chunks, slices, spans_to_index, spread_table
 from .suffixes import SuffixSorter
 
 WIDTH, SEED = 50, 16
@@ -567,4 +567,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_summary(table(spark, sf_dir, "documents"))
+    return repeat_summary(spread_table(spark, sf_dir, "documents"))

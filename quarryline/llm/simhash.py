@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..storage import materialize
-from .common import chunks, fresh, table
+from .common import chunks, fresh, spread_table
 from .golay import further_keys, keys
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -231,7 +231,7 @@ def simhash_groups(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", te
 
 
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash_groups(spread_table(spark, sf_dir, "documents"))
 
 
 def _send_few(ids: DataFrame, n: int) -> DataFrame:

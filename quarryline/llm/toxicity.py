@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import chunks, fold, slices, table, words
+from .common import chunks, fold, slices, spread_table, table, words
 
 #: Labelled documents of each class that the model is learned from, at most, and bytes of their texts: those with the smallest hashes.
 TRAIN_ROWS, TRAIN_BYTES = 5_000, 32 << 20
@@ -394,7 +394,7 @@ def filter_toxic(docs: DataFrame, model: Chain, threshold: float = THRESHOLD, te
 
 
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(fold("doc_id", FOLDS) != HELD_OUT))
     held_out = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_toxic")
