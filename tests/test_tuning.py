@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quarryline.functions.skew import defined_correlation
+from quarryline.functions.skew import correlation, defined_correlation
 from quarryline.operators import tuning
 from quarryline.sources import readers
 
@@ -87,3 +87,11 @@ def test_own_event_log(spark, tmp_path):
     stages, rdds, tasks = readers.read_event_log(spark, str(path))
     row = tasks.first()
     assert row["run_time"] == 0 and row["memory_spilled"] is None and stages.count() == 1 and rdds.count() == 1
+
+
+def test_equal_values_do_not_correlate(spark):
+    """49 equal values in each of two partitions: 1 / 49 * 49 < 1, so their merged deviation is above 0 by rounding."""
+    rows = spark.range(0, 98, 1, 2).selectExpr("id AS a", "1 AS b", "2 * id AS c")
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    found = rows.agg(correlation(a, b), correlation(b, a), defined_correlation(a, b), defined_correlation(b, a), F.round(correlation(a, c), 9), defined_correlation(a, c)).first()
+    assert tuple(found) == (0.0, 0.0, 0.0, 0.0, 1.0, 1.0)
