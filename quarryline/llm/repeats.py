@@ -23,6 +23,11 @@ are suffix-sorted there in the same way, and their bits are put together by
 block.  What a bucket holds then follows the number of blocks that one string
 stands in (a string is sent once per block), not the number of its contexts.
 
+Each block sends a row to nearly every bucket, so the rows grow with the square
+of the texts.  Beyond ``MANY_BUCKETS`` buckets therefore become larger, up to
+``CELLS`` times; a bucket of pieces then has cells, by anchor, which are sorted
+one after another, and it is cells that are cut if they are too large.
+
 Only anchors, shared pieces and bits travel: blocks lie in buckets of their
 number and are joined with what they are sent where they are.  The numbers of
 all buckets follow the bytes of the texts.  All tables between the steps lie in
@@ -38,6 +43,7 @@ into a worker's memory; ``remove_repeats`` keeps further columns of any name.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -62,7 +68,9 @@ PIECES_AT_ONCE = 1 << 20
 ANCHOR_BUCKET, PIECE_BUCKET = 4 << 20, 4 << 20
 #: Bytes of texts whose blocks one task reads, about.
 BLOCKS_BUCKET = 32 << 20
-#: Bytes of pieces beyond which a bucket is cut into strings.
+#: More buckets than these are made only of buckets that are ``CELLS`` times as large.
+MANY_BUCKETS, CELLS = 256, 4
+#: Bytes of pieces beyond which a cell of a bucket is cut into strings.
 HOT_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).max
 
@@ -71,31 +79,49 @@ _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 BLOCKS = "block long, bytes long, payload binary"
 ANCHORS = "bucket int, block long, anchors binary"
-TRAFFIC = "kind int, block long, bucket int, size long, data binary, more binary"
+TRAFFIC = "kind int, block long, bucket int, sizes array<long>, data binary, more binary"
 STRINGS = "sub int, block long, bucket int, data binary, more binary"
-MARKS = "block long, bucket int, count long, data binary"
+MARKS = "block long, bucket int, data binary"
 PIECES, PLACES, BITS = 0, 1, 2
 
 
-def _squeeze(x: bytes, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(x)
+@functools.cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+@functools.cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
+def _squeeze(x: bytes | np.ndarray, level: int = 1) -> bytes:
+    return _compressor(level).compress(x)
 
 
 def _swell(x: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(x)
+    return _decompressor().decompress(x)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Non-negative integers: their width, then bytes of equal weight next to each other."""
+    top = int(x.max()) if len(x) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _numbers(x: bytes) -> np.ndarray:
+    width = x[0]
+    planes = np.frombuffer(x, np.uint8, offset=1) if len(x) > 1 else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").reshape(-1).astype(np.int64)
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
-    """Non-negative integers: bytes of equal weight next to each other, compressed."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or int(x.max()) < 1 << (8 * w))
-    planes = np.ascontiguousarray(x.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + _squeeze(np.ascontiguousarray(planes).tobytes())
+    return _squeeze(_planes(x))
 
 
 def unpack_numbers(x: bytes) -> np.ndarray:
-    width = x[0]
-    planes = np.frombuffer(_swell(x[1:]), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1).astype(np.int64)
+    return _numbers(_swell(x))
 
 
 def _pack_sorted(x: np.ndarray) -> bytes:
@@ -224,18 +250,19 @@ Emit = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.RecordB
 """(rows, bytes, offsets, removed) -> result rows; ``removed`` marks bytes."""
 
 
-def _traffic(kind: int, block: list[int], data: list[bytes], buckets: list[int] | None = None, sizes: list[int] | None = None, more: list[bytes] | None = None) -> pa.Table:
+def _traffic(kind: int, block: list[int], data: list[bytes], buckets: list[int] | None = None, sizes: list[list[int]] | None = None, more: list[bytes] | None = None) -> pa.Table:
     n = len(data)
-    return pa.table([pa.array([kind] * n, pa.int32()), pa.array(block, pa.int64()), pa.array(buckets or [None] * n, pa.int32()), pa.array(sizes or [None] * n, pa.int64()), pa.array(data, pa.binary()), pa.array(more or [None] * n, pa.binary())], names=["kind", "block", "bucket", "size", "data", "more"])
+    return pa.table([pa.array([kind] * n, pa.int32()), pa.array(block, pa.int64()), pa.array(buckets or [None] * n, pa.int32()), pa.array(sizes or [None] * n, pa.list_(pa.int64())), pa.array(data, pa.binary()), pa.array(more or [None] * n, pa.binary())], names=["kind", "block", "bucket", "sizes", "data", "more"])
 
 
 def _join_fields(parts: list[np.ndarray]) -> bytes:
-    return b"".join(len(p).to_bytes(4, "little") + p for p in map(pack_numbers, parts))
+    x = _squeeze(b"".join(len(p).to_bytes(8, "little") + p for p in map(_planes, parts)))
+    return len(x).to_bytes(8, "little") + x
 
 
-def _send_pieces(id_col: str, text_col: str, width: int, anchor_buckets: int, piece_buckets: int):
+def _send_pieces(id_col: str, text_col: str, width: int, anchor_buckets: int, piece_buckets: int, cells: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        """The distinct pieces of a block with shared anchors, by bucket (PIECES), and where they stand in the block (PLACES)."""
+        """The distinct pieces of a block with shared anchors, by bucket (PIECES), and where they stand in the block (PLACES). A bucket's pieces lie in the order of its cells; ``sizes`` holds the bytes of each cell."""
         if not blocks.num_rows or not answers.num_rows:
             return _traffic(PIECES, [], [])
         block = blocks.column("block")[0].as_py()
@@ -253,22 +280,27 @@ def _send_pieces(id_col: str, text_col: str, width: int, anchor_buckets: int, pi
         np.minimum.at(owner, code, ids[doc])
         code_anchor = np.zeros(size, np.int64)
         code_anchor[code] = anchor
-        bucket = code_anchor % piece_buckets
-        order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(piece_buckets + 1))
-        full = np.flatnonzero(edge[1:] > edge[:-1])
-        payloads, sizes, more = [], [], []
-        for b in full:
-            own = order[edge[b] : edge[b + 1]]
-            d, a = byte_view(coded.dictionary.take(pa.array(own)))
-            low = int(owner[own].min())
-            payloads.append(_squeeze(d.tobytes(), 3))
-            sizes.append(len(d))
-            more.append(_join_fields([np.diff(a), owner[own] - low, code_anchor[own]]) + low.to_bytes(8, "little"))
+        cell = code_anchor % piece_buckets * cells + code_anchor // piece_buckets % cells
+        order = np.argsort(cell, kind="stable")
+        per_cell = np.bincount(cell, minlength=piece_buckets * cells).reshape(-1, cells)
+        in_bucket = per_cell.sum(axis=1)
+        edge = np.append(0, np.cumsum(in_bucket))
+        full = np.flatnonzero(in_bucket)
+        # all pieces in the order of the buckets, of which each payload is a slice
+        data, at = byte_view(coded.dictionary.take(pa.array(order)))
+        length, owned, anchored = np.diff(at), owner[order], code_anchor[order]
+        upto = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(per_cell.reshape(-1)))]
+        sizes = np.diff(upto).reshape(-1, cells)[full].tolist()
+        payloads, more = [], []
+        for bucket in full.tolist():
+            a, b = edge[bucket], edge[bucket + 1]
+            low = int(owned[a:b].min())
+            payloads.append(_squeeze(data[at[a] : at[b]], 3))
+            more.append(_join_fields([length[a:b], owned[a:b] - low, anchored[a:b], per_cell[bucket]]) + low.to_bytes(8, "little"))
         place = np.empty(size, np.int64)
         place[order] = np.arange(size)
         late = (ids[doc] != owner[code]).astype(np.int64)
-        places = _join_fields([np.diff(start, prepend=0), count, place[code] * 2 + late, (edge[1:] - edge[:-1])[full]])
+        places = _join_fields([np.diff(start, prepend=0), count, place[code] * 2 + late, in_bucket[full]])
         return pa.concat_tables([_traffic(PIECES, [block] * len(full), payloads, full.tolist(), sizes, more), _traffic(PLACES, [block], [places])])
 
     return run
@@ -276,55 +308,73 @@ def _send_pieces(id_col: str, text_col: str, width: int, anchor_buckets: int, pi
 
 def _fields(blob: bytes, count: int) -> tuple[list[np.ndarray], bytes]:
     """Packed numbers, each after its length, and what follows them."""
+    end = 8 + int.from_bytes(blob[:8], "little")
+    raw = _swell(blob[8:end])
     out, at = [], 0
     for _ in range(count):
-        n = int.from_bytes(blob[at : at + 4], "little")
-        out.append(unpack_numbers(blob[at + 4 : at + 4 + n]))
-        at += 4 + n
-    return out, blob[at:]
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(_numbers(raw[at + 8 : at + 8 + n]))
+        at += 8 + n
+    return out, blob[end:]
 
 
 def _sort_pieces(width: int):
     def run(rows: pa.Table) -> pa.Table:
-        """Of one bucket: for each block one bit for each string of its pieces, in order."""
-        texts, owners, anchors, sizes = [], [], [], []
+        """Of one bucket: for each block one bit for each string of its pieces, in order; cells in ``skip`` are settled elsewhere and have zeros."""
+        texts, lengths, owners, anchors, cells = [], [], [], [], []
         for payload, more in zip(rows.column("data"), rows.column("more"), strict=True):
-            (length, owner, anchor), low = _fields(more.as_py(), 3)
-            data = np.frombuffer(_swell(payload.as_py()), np.uint8)
-            texts.append(slices(data, np.cumsum(length) - length, np.cumsum(length)))
+            (length, owner, anchor, per_cell), low = _fields(more.as_py(), 4)
+            texts.append(_swell(payload.as_py()))
+            lengths.append(length)
             owners.append(owner + int.from_bytes(low, "little"))
             anchors.append(anchor)
-            sizes.append(len(length))
-        owner, anchor = np.concatenate(owners), np.concatenate(anchors)
-        coded = pa.concat_arrays(texts).dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        n = len(coded.dictionary)
-        least = np.full(n, NO_ID)
-        np.minimum.at(least, code, owner)
-        of = np.zeros(n, np.int64)
-        of[code] = anchor
-        data, at = byte_view(coded.dictionary)
-        count = np.diff(at) - width + 1
-        begin = np.cumsum(count) - count
-        smallest = np.repeat(least, count)  # of each string of each distinct piece
-        # an anchor with a single distinct piece has nothing to sort
-        several = np.bincount(np.unique(of, return_inverse=True)[1])[np.unique(of, return_inverse=True)[1]] > 1 if n else np.zeros(0, bool)
-        own = np.flatnonzero(several)
-        if len(own):
-            inner = byte_view(coded.dictionary.take(pa.array(own)))
-            slot = spans_to_index(begin[own], count[own])
-            smallest[slot] = least_of_equal(inner[0], spans_to_index(inner[1][:-1], count[own]), smallest[slot], width)
-        answer, at_row = [], 0
-        for k in sizes:
-            c = code[at_row : at_row + k]
-            strings = spans_to_index(begin[c], count[c])
-            answer.append(np.packbits(smallest[strings] < np.repeat(owner[at_row : at_row + k], count[c])).tobytes())
-            at_row += k
-        return _traffic(BITS, rows.column("block").to_pylist(), [_squeeze(x) for x in answer], rows.column("bucket").to_pylist())
+            cells.append(np.repeat(np.arange(len(per_cell)), per_cell))
+        skip = rows.column("skip")[0].as_py() or ()
+        length, owner, anchor, cell = (np.concatenate(x) for x in (lengths, owners, anchors, cells))
+        at = np.append(0, np.cumsum(length))
+        text = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(at), pa.py_buffer(b"".join(texts))])
+        del texts
+        count = length - width + 1
+        begin = np.append(0, np.cumsum(count))
+        marks = np.zeros(begin[-1], bool)
+        for c in np.unique(cell).tolist():
+            if c in skip:
+                continue
+            own = np.flatnonzero(cell == c)
+            whole = len(own) == len(length)
+            for first, last, late in _late_strings(text if whole else text.take(pa.array(own)), owner[own], anchor[own], width):
+                marks[slice(begin[first], begin[last]) if whole else spans_to_index(begin[own[first:last]], count[own[first:last]])] = late
+        edge = begin[np.append(0, np.cumsum([len(x) for x in lengths]))].tolist()
+        answer = [_squeeze(np.packbits(marks[a:b])) for a, b in zip(edge, edge[1:], strict=False)]
+        return _traffic(BITS, rows.column("block").to_pylist(), answer, rows.column("bucket").to_pylist())
 
     return run
 
 
+def _late_strings(text: pa.LargeBinaryArray, owner: np.ndarray, anchor: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of pieces, and for each string of these whether a document with a smaller id than the piece's has it."""
+    coded = text.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    n = len(coded.dictionary)
+    least = np.full(n, NO_ID)
+    np.minimum.at(least, code, owner)
+    of = np.zeros(n, np.int64)
+    of[code] = anchor
+    count = np.diff(byte_view(coded.dictionary)[1]) - width + 1
+    begin = np.cumsum(count) - count
+    smallest = np.repeat(least, count)  # of each string of each distinct piece
+    # an anchor with a single distinct piece has nothing to sort
+    which = np.unique(of, return_inverse=True)[1]
+    own = np.flatnonzero(np.bincount(which)[which] > 1)
+    if len(own):
+        data, at = byte_view(coded.dictionary.take(pa.array(own)))
+        slot = spans_to_index(begin[own], count[own])
+        smallest[slot] = least_of_equal(data, spans_to_index(at[:-1], count[own]), smallest[slot], width)
+    for first, last in _parts(count[code], PIECES_AT_ONCE):
+        c = code[first:last]
+        yield first, last, smallest[spans_to_index(begin[c], count[c])] < np.repeat(owner[first:last], count[c])
+
+
 def least_of_equal(data: np.ndarray, starts: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
     """For each string data[starts[i]:starts[i] + width] the least value among all strings equal to it, by sorting the suffixes bucket by bucket."""
     sorter = SuffixSorter(data)
@@ -341,20 +391,23 @@ def least_of_equal(data: np.ndarray, starts: np.ndarray, values: np.ndarray, wid
 
 
 def _cut_strings(width: int, n_sub: int):
-    """The pieces of hot buckets as single strings, by a hash of the string; ``more`` holds places among the payload's strings and owners."""
+    """The pieces of hot cells (``skip``) as single strings, by a hash of the string; ``more`` holds places among the payload's strings and owners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in STRINGS.split(", ")]
         for batch in batches:
-            for block, bucket, payload, more in zip(batch.column("block").to_pylist(), batch.column("bucket").to_pylist(), batch.column("data"), batch.column("more"), strict=True):
-                (length, owner, _), low = _fields(more.as_py(), 3)
+            for block, bucket, skip, payload, more in zip(*(batch.column(x).to_pylist() for x in ("block", "bucket", "skip")), batch.column("data"), batch.column("more"), strict=True):
+                (length, owner, _, per_cell), low = _fields(more.as_py(), 4)
                 data = np.frombuffer(_swell(payload.as_py()), np.uint8)
+                hot = np.flatnonzero(np.isin(np.repeat(np.arange(len(per_cell)), per_cell), skip))
                 count = length - width + 1
-                place = 0
+                piece_at, string_at = np.cumsum(length) - length, np.cumsum(count) - count
                 # some pieces at once, as single strings take many times their bytes
-                for first, last in _parts(count, PIECES_AT_ONCE // width):
-                    starts = spans_to_index((np.cumsum(length) - length)[first:last], count[first:last])
-                    whose = np.repeat(owner[first:last], count[first:last])
+                for first, last in _parts(count[hot], PIECES_AT_ONCE // width):
+                    these = hot[first:last]
+                    starts = spans_to_index(piece_at[these], count[these])
+                    place = spans_to_index(string_at[these], count[these])
+                    whose = np.repeat(owner[these], count[these])
                     sub = (_string_hash(data, starts, width) % np.uint64(n_sub)).astype(np.int64)
                     order = np.argsort(sub, kind="stable")
                     edge = np.flatnonzero(np.append(True, np.diff(sub[order]) != 0))
@@ -362,8 +415,7 @@ def _cut_strings(width: int, n_sub: int):
                     for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
                         own = order[a:b]
                         text = data[spans_to_index(starts[own], np.full(len(own), width))]
-                        rows.append((int(sub[own[0]]), block, bucket, _squeeze(text.tobytes()), _join_fields([np.diff(own + place, prepend=0), whose[own]]) + low))
-                    place += len(starts)
+                        rows.append((int(sub[own[0]]), block, bucket, _squeeze(text.tobytes()), _join_fields([np.diff(place[own], prepend=0), whose[own]]) + low))
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
 
@@ -410,16 +462,16 @@ def _settle_strings(width: int):
         for place, n in zip(places, sizes, strict=True):
             out.append(_pack_sorted(place[late[at : at + n]]))
             at += n
-        return pa.table([rows.column("block"), rows.column("bucket"), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["block", "bucket", "count", "data"])
+        return pa.table([rows.column("block"), rows.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "data"])
 
     return run
 
 
 def _join_marks(rows: pa.Table) -> pa.Table:
-    """Of one block and bucket: the bits of its strings from the places that are marked."""
-    bits = np.zeros(sum(rows.column("count").to_pylist()), np.uint8)
-    for x in rows.column("data"):
-        bits[_unpack_sorted(x.as_py())] = 1
+    """Of one block and bucket: the bits of its strings from the places that are marked, up to the last of these."""
+    marked = np.concatenate([_unpack_sorted(x.as_py()) for x in rows.column("data")])
+    bits = np.zeros(marked.max(initial=0) + 1, np.uint8)
+    bits[marked] = 1
     return _traffic(BITS, [rows.column("block")[0].as_py()], [_squeeze(np.packbits(bits).tobytes())], [rows.column("bucket")[0].as_py()])
 
 
@@ -440,12 +492,13 @@ def _finish(text_col: str, width: int, emit: Emit, names: list[str]):
             strings[place] = count
             begin = np.cumsum(strings) - strings
             bits = np.zeros(int(strings.sum()), bool)
-            told = answers.filter(pa.array(kind == BITS)).sort_by("bucket")
+            told = answers.filter(pa.array(kind == BITS))
             first_piece = np.cumsum(in_bucket) - in_bucket
-            for i, blob in enumerate(told.column("data")):
-                a, b = first_piece[i], first_piece[i] + in_bucket[i]
-                k = int(strings[a:b].sum())
-                bits[begin[a] : begin[a] + k] = np.unpackbits(np.frombuffer(_swell(blob.as_py()), np.uint8), count=k).astype(bool)
+            string_edge = np.append(begin[first_piece], len(bits))
+            # the cells of a bucket may be answered apart
+            for i, blob in zip(np.unique(told.column("bucket").to_numpy(), return_inverse=True)[1].tolist(), told.column("data"), strict=True):
+                a, b = string_edge[i], string_edge[i + 1]
+                bits[a:b] |= np.unpackbits(np.frombuffer(_swell(blob.as_py()), np.uint8), count=b - a).astype(bool)
             where = spans_to_index(start, count)
             where = where[bits[spans_to_index(begin[place], count)] | np.repeat(late, count)]
             depth = np.zeros(len(data) + 1, np.int32)
@@ -457,6 +510,13 @@ def _finish(text_col: str, width: int, emit: Emit, names: list[str]):
     return run
 
 
+def bucket_numbers(total: int, size: int, least: int) -> tuple[int, int]:
+    """How many buckets ``total`` bytes go to, and how many cells of about ``size`` bytes each bucket has."""
+    n = -(-total // size)
+    buckets = max(least, min(n, MANY_BUCKETS), -(-n // CELLS))
+    return buckets, max(1, -(-n // buckets))
+
+
 def process(docs: DataFrame, emit: Emit, schema: T.StructType | str, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Rows that ``emit`` makes of each block's documents and their removed bytes."""
 
@@ -469,28 +529,33 @@ def process(docs: DataFrame, emit: Emit, schema: T.StructType | str, width: int
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_blocks = max(shuffle, -(-total // BLOCKS_BUCKET))
-    anchor_buckets, piece_buckets = max(16, -(-total * 45 // 100 // ANCHOR_BUCKET)), max(32, -(-total // PIECE_BUCKET))
+    anchor_buckets, _ = bucket_numbers(-(-total * 45 // 100), ANCHOR_BUCKET, 16)
+    piece_buckets, cells = bucket_numbers(total, PIECE_BUCKET, 32)
     spread = lambda df, n, key: df.repartition(n, key) if n > shuffle else df
     blocks = materialize_by(docs.mapInArrow(pack, BLOCKS), "block", "blocks", n_blocks).select("block", "payload")
     sent = spread(blocks.mapInArrow(_send_anchors(id_col, text_col, width, anchor_buckets), ANCHORS), anchor_buckets, "bucket")
     shared = materialize(sent.groupBy("bucket").applyInArrow(_meet_anchors, ANCHORS), "shared")
     del sent
-    traffic = materialize(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(id_col, text_col, width, anchor_buckets, piece_buckets), TRAFFIC), "pieces")
+    traffic = materialize(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(id_col, text_col, width, anchor_buckets, piece_buckets, cells), TRAFFIC), "pieces")
     del shared
     release(spark)
     sent = traffic.where(F.col("kind") == PIECES)
-    sizes = sent.groupBy("bucket").agg(F.sum("size").alias("n")).where(F.col("n") > hot_bytes)
+    sizes = sent.select("bucket", F.posexplode("sizes").alias("cell", "n")).groupBy("bucket", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > hot_bytes)
     hot = materialize(sizes, "hot")  # at most total / hot_bytes numbers
     n_hot = hot.agg(F.sum("n").alias("n")).first()["n"] or 0
     answers = traffic.where(F.col("kind") == PLACES)
+    pieces_sent = [x.split(" ")[0] for x in TRAFFIC.split(", ")]
     if n_hot:
-        known = F.broadcast(hot.select("bucket"))
+        known = F.broadcast(hot.groupBy("bucket").agg(F.collect_list("cell").alias("skip")))  # up to CELLS numbers
+        sent = sent.join(known, "bucket", "left").select(*pieces_sent, "skip")
         n_sub = max(shuffle, -(-n_hot * width // 4 // PIECE_BUCKET))  # a piece has about four times its bytes / width strings at most
-        strings = sent.join(known, "bucket", "left_semi").mapInArrow(_cut_strings(width, n_sub), STRINGS)
+        strings = sent.where("skip IS NOT NULL").mapInArrow(_cut_strings(width, n_sub), STRINGS)
         marks = materialize(spread(strings, n_sub, "sub").groupBy("sub").applyInArrow(_settle_strings(width), MARKS), "marks")
         answers = answers.union(marks.groupBy("block", "bucket").applyInArrow(_join_marks, TRAFFIC))
-        sent = sent.join(known, "bucket", "left_anti")
-    bits = spread(sent.select(*(x.split(" ")[0] for x in TRAFFIC.split(", "))), piece_buckets, "bucket").groupBy("bucket").applyInArrow(_sort_pieces(width), TRAFFIC)
+        sent = sent.where(f"skip IS NULL OR size(skip) < {cells}")
+    else:
+        sent = sent.select(*pieces_sent, F.lit(None).cast("array<int>").alias("skip"))
+    bits = spread(sent, piece_buckets, "bucket").groupBy("bucket").applyInArrow(_sort_pieces(width), TRAFFIC)
     answers = answers.union(bits)
     names = T._parse_datatype_string(schema).names if isinstance(schema, str) else schema.names
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(text_col, width, emit, names), schema)

@@ -97,6 +97,23 @@ def test_passage_in_many_contexts(spark, monkeypatch):
     assert distinct > 100_000 and share.max() < 2.2 * share.mean()
 
 
+@pytest.mark.parametrize("hot_bytes", [repeats.HOT_BYTES, 0, 2000])
+def test_large_buckets_have_cells(spark, monkeypatch, hot_bytes):
+    """Beyond a number of buckets these become larger: a block sends fewer rows than its texts have bucket sizes, with the same result, also if all or some cells are cut into strings."""
+    monkeypatch.setattr(repeats.process, "__defaults__", (*repeats.process.__defaults__[:3], 3000, hot_bytes))
+    monkeypatch.setattr(repeats, "PIECE_BUCKET", 100)
+    monkeypatch.setattr(repeats, "ANCHOR_BUCKET", 100)
+    monkeypatch.setattr(repeats, "MANY_BUCKETS", 8, raising=False)
+    tables, materialize = {}, repeats.materialize
+    monkeypatch.setattr(repeats, "materialize", lambda df, name="table": tables.setdefault(name, materialize(df, name)))
+    docs = corpus(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in repeats.repeat_summary(df).collect()), key=repr)
+    assert got == brute(docs, 50)
+    sizes = -(-sum(len((t or "").encode()) for _, t in docs) // 100)
+    assert sizes > 128 and tables["pieces"].where("kind = 0").select("bucket").distinct().count() <= -(-sizes // 4)
+
+
 @pytest.mark.parametrize("width", [5, 8, 50])
 def test_least_of_equal(width):
     rng = np.random.default_rng(width)
