@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from itertools import chain
+from array import array
 
 import numpy as np
 import tiktoken
@@ -57,12 +57,13 @@ class ByteBpe:
         back = _byte_of_char()
         ranks = {bytes(back[c] for c in piece): i for piece, i in told["model"]["vocab"].items() if piece not in special}
         self.core = tiktoken.Encoding("vocabulary", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[bytes, list[int]] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def encode_text(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of 4 bytes; as lists of numbers they would take many times the memory."""
         cache, one = self.cache, self.core._encode_single_piece
         if len(cache) > CACHED_PIECES:
             cache.clear()
@@ -70,7 +71,7 @@ class ByteBpe:
         for piece in pieces:
             ids = cache.get(piece)
             if ids is None:
-                ids = cache[piece] = one(piece)
+                ids = cache[piece] = array("I", one(piece)).tobytes()
             out.append(ids)
         return out
 
@@ -123,8 +124,8 @@ class ByteBpe:
         coded = slices(data, starts, ends).dictionary_encode()
         which = coded.indices.to_numpy()
         ids = self._encode_pieces(coded.dictionary.to_pylist())
-        length = np.fromiter(map(len, ids), np.int64, count=len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, count=int(length.sum()))
+        length = np.fromiter(map(len, ids), np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32) if ids else np.zeros(0, np.uint32)
         begin = np.cumsum(length) - length
         per = length[which] if len(which) else np.zeros(0, np.int64)
         stream = flat[spans_to_index(begin[which], per)] if len(which) else np.zeros(0, np.uint32)

@@ -33,12 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import ByteBpe
-from .common import chunks, spread_table
+from .common import chunks, give_back, spread_table
 
 CAPACITY = 1024
 SEPARATOR_ID = 0
 #: Sequence ids of a partition begin at its number times this.
 IDS_PER_PARTITION = 1 << 40
+#: Bytes of text that are encoded at once; the arrays take some 50 times as many.
+ENCODED_AT_ONCE = 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -142,13 +144,16 @@ def pack(docs: DataFrame, vocabulary: bytes, capacity: int = CAPACITY, separator
         return pa.RecordBatch.from_arrays(arrays, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         bpe = ByteBpe(shared.value)
         packer = Packer(capacity, TaskContext.get().partitionId() * IDS_PER_PARTITION)
-        for batch, data, at in chunks(batches, "text"):
+        for batch, data, at in chunks(batches, "text", ENCODED_AT_ONCE):
             ids, first = bpe.encode(data, at)
             ids = np.insert(ids, first[1:], separator)
             yield rows(packer.add(batch.column("doc_id").to_pylist(), ids, first + np.arange(len(first))))
         yield rows(packer.finish())
+        del bpe, packer
+        give_back()
 
     from pyspark.sql import functions as F
 

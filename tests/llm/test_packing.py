@@ -97,3 +97,14 @@ def test_pipeline_of_odd_rows(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), packing.read_vocabulary()).count() == 0
+
+
+def test_cached_pieces_are_bytes():
+    """Pieces that are kept between chunks take 4 bytes an id."""
+    from quarryline.llm import bpe, packing
+
+    own, text = bpe.ByteBpe(packing.read_vocabulary()), "some words and more unusualwordsthatarecut 123"
+    data = text.encode()
+    ids, _ = own.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert ids.tolist() == own.encode_text(text).tolist()
+    assert own.cache and sum(len(x) for x in own.cache.values() if isinstance(x, bytes)) == 4 * len(ids)
